@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, sharding, warc
+from . import decontaminate, neardup, sharding, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
+    "op4_neardup": neardup.op4,
     "op5_decontaminate": decontaminate.op5,
     "op10_sharding": sharding.op10,
 }
 
 ORACLES = {
     "op1_warc": warc.ORACLE_OP1,
+    "op4_neardup": neardup.ORACLE_OP4,
     "op5_decontaminate": decontaminate.ORACLE_OP5,
 }
