@@ -122,27 +122,36 @@ SPACES = byte_set((0x20, 0x20), (0x09, 0x0D))
 LOWER = lower_ascii()
 
 
-def words_of(data: np.ndarray, off: np.ndarray, breaks: np.ndarray = SPACES, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, row numbers, starts and ends (in bytes) of the words of some rows, in order.
+class Words:
+    """The words of some rows, in order: row numbers, starts and ends in bytes, and hashes on demand.
 
     A word is a maximal run of bytes outside ``breaks`` in one row; ``fold`` maps bytes before hashing.
     """
-    n = len(data)
-    if not n:
-        e = np.zeros(0, np.int64)
-        return np.zeros(0, U64), e, e, e
-    inside = ~breaks[data]
-    first = np.zeros(n + 1, bool)
-    first[off[:-1][off[:-1] < n]] = True
-    first[n] = True
-    begin = inside.copy()
-    begin[1:] &= ~inside[:-1] | first[1:-1]
-    end = inside.copy()
-    end[:-1] &= ~inside[1:] | first[1:-1]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    rows = np.searchsorted(off, starts, "right") - 1
-    up, down = _powers(n + 1)
-    total = np.zeros(n + 1, U64)
-    np.cumsum((fold[data].astype(U64) + U64(1)) * up[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix64(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)), rows, starts, ends
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, breaks: np.ndarray = SPACES, fold: np.ndarray = LOWER):
+        n = len(data)
+        inside = ~breaks[data]
+        first = np.zeros(n + 1, bool)
+        first[off[:-1]] = True
+        first[n] = True
+        begin, end = inside.copy(), inside.copy()
+        if n:
+            begin[1:] &= ~inside[:-1] | first[1:-1]
+            end[:-1] &= ~inside[1:] | first[1:-1]
+        self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        self.rows = np.searchsorted(off, self.starts, "right") - 1
+        up, self._down = _powers(n + 1)
+        self._total = np.zeros(n + 1, U64)
+        np.cumsum((fold[data].astype(U64) + U64(1)) * up[:n], out=self._total[1:])
+
+    def hashes(self, head: int | None = None) -> np.ndarray:
+        """64-bit hashes of the words, or of their first ``head`` bytes."""
+        ends = self.ends if head is None else np.minimum(self.ends, self.starts + head)
+        h = (self._total[ends] - self._total[self.starts]) * self._down[self.starts]
+        return mix64(h + (ends - self.starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def words_of(data: np.ndarray, off: np.ndarray, breaks: np.ndarray = SPACES, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, row numbers, starts and ends (in bytes) of the words of some rows, in order."""
+    w = Words(data, off, breaks, fold)
+    return w.hashes(), w.rows, w.starts, w.ends

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup, sharding, warc
+from . import decontaminate, neardup, sharding, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
     "op4_neardup": neardup.op4,
     "op5_decontaminate": decontaminate.op5,
+    "op7_toxicity": toxicity.op7,
     "op10_sharding": sharding.op10,
 }
 
