@@ -47,6 +47,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows up to which a narrow table (under about 64 bytes a row) is sent to all executors.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has ``BROADCAST_ROWS`` rows at most; else left to a shuffle join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def row_key(*cols: str) -> Column:
     """A 64-bit key of a row's contents; rows with equal contents share it."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in cols])

@@ -15,12 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, table, written
+from .common import row_key, small, table, written
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows up to which a side is sent to all executors (terms, anchors, candidate keys: under about 64 bytes each).
-BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -30,11 +28,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, BETWEEN_WORDS), "")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has ``BROADCAST_ROWS`` rows at most; else left to a shuffle join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def positional_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings (k, term, pos) of ``terms`` (column term) in ``docs`` (columns k, words); positions from 0."""
     return docs.select("k", F.posexplode("words").alias("pos", "term")).join(small(terms), "term", "left_semi")

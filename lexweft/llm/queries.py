@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup, sharding, toxicity, warc
+from . import decontaminate, neardup, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
+    "op2_quality": quality.op2,
     "op4_neardup": neardup.op4,
     "op5_decontaminate": decontaminate.op5,
     "op7_toxicity": toxicity.op7,
