@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup, quality, sharding, toxicity, warc
+from . import decontaminate, media, neardup, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
     "op2_quality": quality.op2,
     "op4_neardup": neardup.op4,
     "op5_decontaminate": decontaminate.op5,
+    "op6_media": media.op6,
     "op7_toxicity": toxicity.op7,
     "op10_sharding": sharding.op10,
 }
