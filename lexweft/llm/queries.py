@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, media, neardup, quality, sharding, toxicity, warc
+from . import chunks, decontaminate, html, media, neardup, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
     "op2_quality": quality.op2,
+    "op3_substring": chunks.op3,
     "op4_neardup": neardup.op4,
     "op5_decontaminate": decontaminate.op5,
     "op6_media": media.op6,
