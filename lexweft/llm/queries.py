@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, decontaminate, html, media, neardup, quality, sharding, toxicity, warc
+from . import chunks, decontaminate, html, media, mixing, neardup, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5,
     "op6_media": media.op6,
     "op7_toxicity": toxicity.op7,
+    "op8_mixing": mixing.op8,
     "op9_html": html.op9,
     "op10_sharding": sharding.op10,
 }
