@@ -91,7 +91,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, window: int = 10, slop:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """Per row of ``docs``: doc_id, k (row_key of doc_id and text), n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word is hit if it lies in an occurrence of a window. Null and empty texts have no words; items without
     words never occur. Rows with equal doc_id and text get equal results, one each. Other columns are ignored.
@@ -106,12 +106,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     return (
         d.select("doc_id", "k", F.size("words").cast("long").alias("n_words"))
         .join(per_doc, "k", "left")
-        .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+        .select("doc_id", "k", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
     )
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("k")
 
 
 ORACLE_OP5 = r"""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, U64, Words, byte_set, mix64, row_chunks, table, text_bytes, written
+from .common import SPACES, U64, Words, byte_set, mix64, row_chunks, row_key, table, text_bytes, written
 
 #: Labelled rows that the classifier is fitted on at most, the first by a hash of doc_id.
 TRAIN_ROWS = 8000
@@ -192,7 +192,7 @@ def fit_rates(members: DataFrame, names: list[str], weights: dict[str, float], t
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, total: float | None = None) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_tokens, domain (likeliest), posterior, rate, copies.
+    """Per row of ``docs`` (doc_id, text): doc_id, k (row_key of both), n_tokens, domain (likeliest), posterior, rate, copies.
 
     copies is the rate rounded up or down by a hash of the row, so that its expectation is the rate; 0 leaves the
     document out. Texts without words weigh nothing and follow the rate of their posterior. Repeated rows get
@@ -200,7 +200,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     """
     model = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # a table of 2**18 columns and a few thousand weights
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
+    rows = docs.select("doc_id", "text", row_key("doc_id", "text").alias("k"))
     members = written(rows.mapInArrow(_labeller(shared), "doc_id long, k long, n_tokens long, posterior array<double>"), "members")
     steps = fit_rates(members, model.names, weights or WEIGHTS, total)
     u = F.pmod(F.xxhash64(F.lit(8), "k"), F.lit(1 << 30)) / float(1 << 30)

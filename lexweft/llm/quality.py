@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, row_chunks, small, table, text_bytes, written
+from .common import U64, mix64, row_chunks, row_key, small, table, text_bytes, written
 
 ORDER = 5
 #: Rows of the model that are sent to executors at once: 16 bytes each in a table twice that size.
@@ -240,24 +240,26 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
         n, lang, g = (t[c].to_numpy().astype(U64) for c in ("n", "l", "g"))
         keys = g | ((n * U64(2) + kind.astype(U64)) << U64(40)) | (lang << U64(44))
         shared = spark.sparkContext.broadcast((keys, t["v"].to_numpy().astype(np.float32), names, None if shards == 1 else deal == i))  # SHARD_ROWS rows, more or less
-        parts.append(docs.select("doc_id", "lang", "k", "text").mapInArrow(_scorer(shared), "doc_id long, lang string, k long, s double, c long"))
+        parts.append(docs.select("doc_id", "lang", "k", "text").mapInArrow(_scorer(shared), "doc_id long, lang string, k long, s double, c long").withColumn("shard", F.lit(i)))
     if len(parts) == 1:
-        return parts[0]
+        return parts[0].drop("shard")
     every = parts[0]
     for x in parts[1:]:
         every = every.unionByName(x)
-    return every.groupBy("doc_id", "lang", "k").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    # repeated rows have equal sums: one of each shard, and as many rows as before
+    one = every.groupBy("doc_id", "lang", "k", "shard").agg(F.first("s").alias("s"), F.first("c").alias("c"), F.count("*").alias("n")).groupBy("doc_id", "lang", "k").agg(F.sum("s").alias("s"), F.sum("c").alias("c"), F.max("n").alias("n"))
+    return one.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, lang): doc_id, lang (as modelled), n_symbols, perplexity, threshold, keep.
+    """Per row of ``docs`` (doc_id, text, lang): doc_id, k (row_key of doc_id and text), lang (as modelled), n_symbols, perplexity, threshold, keep.
 
     Trusted are the documents that all their labels call quality 1; a fifth of them, by crc32 of doc_id, is held
     out of the training and sets the thresholds. A text without symbols (null or empty) has no perplexity and is
     kept, as is every document of a language with fewer than ``LEAST_HELD_OUT`` held-out documents. Repeated rows
     are scored one by one.
     """
-    d = docs.select("doc_id", language().alias("lang"), "text").withColumn("k", F.lit(0).cast("long"))
+    d = docs.select("doc_id", language().alias("lang"), "text", row_key("doc_id", "text").alias("k"))
     trusted = written(labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out")), "trusted")
     train = d.join(small(trusted.filter("NOT held_out")), "doc_id", "left_semi")
     counts = train.select("lang", "text").mapInArrow(_counter, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
@@ -265,8 +267,8 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> D
     scored = written(perplexities(d, model).withColumn("perplexity", F.when(F.col("c") > 0, F.exp(-F.col("s") / F.col("c")))), "scored")
     # rounded, so that the exact quantile keeps a bounded number of values
     limit = scored.filter("perplexity IS NOT NULL").join(trusted.filter("held_out"), "doc_id", "left_semi").groupBy("lang").agg(F.expr(f"percentile(round(perplexity, 3), {quantile!r}D)").alias("threshold"), F.count("*").alias("n")).filter(f"n >= {LEAST_HELD_OUT}").drop("n")
-    return scored.join(F.broadcast(limit), "lang", "left").select("doc_id", "lang", F.col("c").alias("n_symbols"), "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
+    return scored.join(F.broadcast(limit), "lang", "left").select("doc_id", "k", "lang", F.col("c").alias("n_symbols"), "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("k")
