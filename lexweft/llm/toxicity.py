@@ -73,13 +73,18 @@ def fit(data: np.ndarray, off: np.ndarray, labels: np.ndarray, epochs: int = 150
     base = (labels.sum() + 0.5) / (n + 1.0)
     if not n or not labels.any() or labels.all():
         return Model(w.astype(np.float32), float(np.log(base / (1 - base))))
-    words, of, row, _ = bags(data, off)
+    parts, sents = [], 0
+    for a, b in row_chunks(off):  # a piece at a time: hashing takes many bytes for each byte of text
+        words, of, row, _ = bags(data[off[a] : off[b]], off[a : b + 1] - off[a])
+        parts.append((words.astype(np.int32), (of + sents).astype(np.int32), (row + a).astype(np.int32)))
+        sents += len(row)
+    words, of, row = (np.concatenate(x) for x in zip(*parts, strict=True))
     # A word's evidence is counted over distinct sentences, since copied texts would count again and again.
     sig = np.zeros(len(row), U64)
     np.add.at(sig, of, mix64(words.astype(U64) + U64(1)))
     _, same = np.unique(sig, return_inverse=True)
     toxic_share = np.bincount(same, labels[row]) / np.bincount(same)
-    pair = np.unique(same[of] * (1 << BITS) + words)
+    pair = np.unique(same.astype(np.int64)[of] * (1 << BITS) + words)
     df = np.bincount(pair % (1 << BITS), minlength=1 << BITS)
     hot = np.bincount(pair % (1 << BITS), toxic_share[pair // (1 << BITS)], 1 << BITS)
     share = toxic_share.mean()
