@@ -83,10 +83,13 @@ def topic_rescore(spark, d) -> DataFrame:
     return docs.select("doc_id", R.topic_adjustment(F.col("trees"), F.col("topics")).alias("adjustment"))
 
 
+#: A text for each prefix, made of its keywords.
+KEYWORD_TEXTS = [" ".join(k for k, q, _ in fixed.TOPIC_KEYWORDS if q == p) for p in dict.fromkeys(p for _, p, _ in fixed.TOPIC_KEYWORDS)]
+
+
 def topic_known(spark, d) -> DataFrame:
     """The built-in keywords over the concatenated names of keywords, one text for each prefix."""
-    rows = [(i, " ".join(k for k, q, _ in fixed.TOPIC_KEYWORDS if q == p)) for i, p in enumerate(dict.fromkeys(p for _, p, _ in fixed.TOPIC_KEYWORDS))]
-    docs = spark.sql("SELECT inline(array(" + ", ".join(f"named_struct('doc_id', {i}L, 'text', '{t}')" for i, t in rows) + "))")
+    docs = spark.sql("SELECT inline(array(" + ", ".join(f"named_struct('doc_id', {i}L, 'text', '{t}')" for i, t in enumerate(KEYWORD_TEXTS)) + "))")
     return R.topic_weights(docs, "doc_id", "text")
 
 
@@ -160,6 +163,8 @@ SELECT doc_id, item_id, round(least(len(list_intersect(m, d)), 2) * 3.0::DOUBLE
     "topic_detect": f"WITH {_TW} SELECT doc_id, prefix, weight FROM tw",
     "topic_rescore": f"""WITH {_TW}, g AS (SELECT doc_id, list(prefix) AS p FROM tw GROUP BY 1), c AS (SELECT DISTINCT doc_id, ['C04.1', 'C08', 'D12.5', 'F03.2', 'C', ''][doc_id % 6 + 1] AS tree FROM documents)
 SELECT doc_id, CASE WHEN p IS NULL OR tree = '' THEN 0.0::DOUBLE WHEN length(tree) >= 3 AND list_contains(p, left(tree, 3)) THEN 3.0::DOUBLE WHEN length(tree) >= 3 AND left(tree, 1) = 'C' AND len([x FOR x IN p IF length(x) > 1 AND left(x, 1) = 'C']) > 0 THEN -3.0::DOUBLE ELSE 0.0::DOUBLE END AS adjustment FROM c LEFT JOIN g USING (doc_id)""",
+    "topic_known": "WITH d(doc_id, t) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{t}')" for i, t in enumerate(KEYWORD_TEXTS)) + "), k(k, p, w) AS (VALUES " + ", ".join(f"('{k}', '{p}', {w})" for k, p, w in fixed.TOPIC_KEYWORDS) + """)
+SELECT doc_id, p AS prefix, CAST(sum(least((length(t) - length(replace(t, k, ''))) // length(k), 3) * w) AS BIGINT) AS weight FROM d, k GROUP BY 1, 2 HAVING weight >= 4""",
     "accuracy_at_k": f"WITH {_CAND}, {_rank_sql('r', 'ord')} SELECT CAST(k AS INTEGER) AS k, count(*) FILTER (gold_rank <= k) AS hits, count(*) AS total, round(100.0::DOUBLE * count(*) FILTER (gold_rank <= k) / count(*), 6) AS accuracy FROM r, (SELECT unnest([1, 5, 10, 20, 30]) AS k) GROUP BY k",
     "phase_transitions": f"""WITH {_CAND}, {_rank_sql('r', 'ord')}, {_rank_sql('s', 'score DESC, entity_id')}, j AS (SELECT coalesce(r.gold_rank = 1, false) AS b, coalesce(s.gold_rank = 1, false) AS a FROM r JOIN s USING (mention_id))
 SELECT count(*) FILTER (a AND NOT b) AS improved, count(*) FILTER (b AND NOT a) AS degraded, count(*) FILTER (a AND b) AS both, count(*) FILTER (NOT a AND NOT b) AS neither, count(*) FILTER (a AND NOT b) - count(*) FILTER (b AND NOT a) AS net FROM j""",

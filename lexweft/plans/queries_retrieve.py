@@ -149,7 +149,22 @@ s AS (SELECT query, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5:
   FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), n GROUP BY 1, 2)
 """
 
+_TERMS = """
+{0}tok AS (SELECT entity_id, unnest(regexp_extract_all(lower({1}), '[a-z0-9]+')) AS term FROM e), {0}tf AS (SELECT entity_id, term, count(*) AS tf FROM {0}tok GROUP BY 1, 2),
+{0}dl AS (SELECT entity_id, sum(tf) AS dl FROM {0}tf GROUP BY 1), {0}df AS (SELECT term, count(*) AS df FROM {0}tf GROUP BY 1), {0}n AS (SELECT count(*) AS n, avg(len(regexp_extract_all(lower({1}), '[a-z0-9]+'))) AS avgdl FROM e)"""
+_WEIGHT = "ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))"
+_BOOSTED = f"""WITH {T.KB}, {T.MENTIONS}, q AS (SELECT DISTINCT lower(mention) AS query FROM m), e AS (SELECT entity_id, label, 'new ' || split_part(label, ' ', 2) AS syn FROM kb),
+{_TERMS.format('a', "label || ' ' || syn")}, {_TERMS.format('p', 'label')},
+qt AS (SELECT query, unnest(list_distinct(regexp_extract_all(query, '[a-z0-9]+'))) AS qterm FROM q),
+nr AS (SELECT DISTINCT qterm, term FROM qt, adf WHERE levenshtein(qterm, term) <= CASE WHEN length(qterm) <= 2 THEN 0 WHEN length(qterm) <= 5 THEN 1 ELSE 2 END),
+s AS (SELECT DISTINCT query, entity_id, 10.0::DOUBLE AS s FROM q JOIN (SELECT entity_id, unnest([lower(label), lower(syn)]) AS query FROM e) USING (query)
+ UNION ALL SELECT query, entity_id, sum(2 * {_WEIGHT}) FROM qt JOIN nr USING (qterm) JOIN atf USING (term) JOIN adf USING (term) JOIN adl USING (entity_id), an GROUP BY 1, 2
+ UNION ALL SELECT query, entity_id, round(sum({_WEIGHT}), 6) * 1.5 FROM qt JOIN ptf ON qterm = term JOIN pdf USING (term) JOIN pdl USING (entity_id), pn GROUP BY 1, 2),
+t AS (SELECT query, entity_id, round(sum(s), 6) AS score FROM s GROUP BY 1, 2)
+SELECT query, entity_id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, entity_id) AS INTEGER) AS rank FROM t QUALIFY rank <= 3"""
+
 ORACLES = {
+    "boosted_search": _BOOSTED,
     "fuzzy_link_topk": f"""WITH {T.KB}, {T.MENTIONS},
 p AS (SELECT m.mention AS query, {T.sorted_sql('m.mention')} AS a, {T.sorted_sql('lower(kb.label)')} AS b, entity_id, label FROM (SELECT DISTINCT lower(mention) AS mention FROM m) m, kb),
 s AS (SELECT *, {_RATIO} AS score FROM p),

@@ -177,7 +177,24 @@ _POSS = r"regexp_replace({}, '''s\b', '', 'g')"
 _LIST = ", ".join(f"'{w}'" for w in fixed.MENTION_STOPWORDS)
 _SHORT = ", ".join(f"'{w}'" for w in fixed.COMMON_SHORT)
 
+_IN = lambda x, words: f"{x} IN ({', '.join(chr(39) + w + chr(39) for w in words)})"
+_MENTIONS = rf"""WITH l AS (SELECT item_id AS doc_id, text, regexp_extract_all(text, '\s*(?:\d+(?:\.\d+)?|[\p{{L}}\p{{M}}\p{{N}}]+(?:''[\p{{L}}]+)?|[^\s])') AS l FROM benchmark),
+r AS (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) AS i FROM l),
+w AS (SELECT *, ltrim(raw, ' ' || chr(9) || chr(10) || chr(13)) AS w FROM r),
+s AS (SELECT *, sum(length(raw)) OVER d - length(w) AS start, lower(w) AS lo, coalesce(lag(w) OVER d IN ('.', '!', '?') AND length(raw) > length(w), false) AS e FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+t AS (SELECT *, sum(CAST(e AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS sent, {_IN('lo', [*fixed.STOPWORDS, *fixed.ADPOSITIONS, *fixed.DETERMINERS, *fixed.OTHER_STOPWORDS])} AS stop, {_IN('lo', fixed.ADPOSITIONS)} OR {_IN('lo', fixed.DETERMINERS)} AS link,
+ {_IN('lo', fixed.VERBS)} OR (regexp_matches(lo, '(ing|ed)$') AND length(w) > 4) AS verb, regexp_full_match(w, '[0-9.,]*[0-9][0-9.,]*') AS num, regexp_full_match(w, '\p{{P}}') AS punct FROM s),
+c AS (SELECT *, NOT punct AND NOT stop AND (link OR NOT verb) AS c0 FROM t),
+h AS (SELECT *, c0 OR (w = '-' AND coalesce(lag(c0) OVER d, false) AND coalesce(lead(c0) OVER d, false)) AS c FROM c WINDOW d AS (PARTITION BY doc_id, sent ORDER BY i)),
+g AS (SELECT *, sum(CAST(NOT c AS INTEGER)) OVER d AS run, sum(CAST(stop AND link AS INTEGER)) OVER d AS links FROM h WINDOW d AS (PARTITION BY doc_id, sent ORDER BY i)),
+sp AS (SELECT doc_id, sent, run, min(i) AS first, max(i) AS last, min(start) AS start, max(start + length(w)) AS stop, min(links) AS links, bool_and(num OR w = '-') AS bare FROM g WHERE c GROUP BY 1, 2, 3),
+j AS (SELECT *, first - lag(last) OVER d - 1 AS gap, links - lag(links) OVER d AS li FROM sp WINDOW d AS (PARTITION BY doc_id, sent ORDER BY first)),
+k AS (SELECT *, sum(CAST(NOT coalesce(gap BETWEEN 1 AND 3 AND li = gap, false) AS INTEGER)) OVER (PARTITION BY doc_id, sent ORDER BY first) AS grp FROM j),
+m AS (SELECT doc_id, min(start) AS a, max(stop) AS b FROM k GROUP BY doc_id, sent, grp HAVING NOT bool_and(bare) OR count(*) > 1)
+SELECT doc_id, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS "end", substr(text, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)) AS mention FROM m JOIN l USING (doc_id)"""
+
 ORACLES = {
+    "mention_extract": _MENTIONS,
     "variants_explode": f"""WITH {_TEXTS}, f AS (SELECT text, [text, {_greek_sql('text')}, {_POSS.format('text')}, {_BARE.format('text')},
  CASE WHEN contains(text, '-') THEN replace(text, '-', '') END, CASE WHEN contains(text, '-') THEN replace(text, '-', ' ') END,
  CASE WHEN length(lower(trim(text))) > 3 AND lower(trim(text)) LIKE '%s' AND NOT regexp_matches(lower(trim(text)), '(ss|is|us)$') THEN left(text, -1) END, {_roman_sql('text')}] AS v FROM texts),
@@ -214,3 +231,6 @@ FROM b JOIN part ON p_partkey = mention_id""",
     "llm_parse": f"WITH {_ANSWERS} SELECT mention_id, coalesce(choice, 0) AS choice FROM ch",
     "llm_decide": f"WITH {_ANSWERS} SELECT mention_id, mention_id + coalesce(choice, 1) - 1 AS entity_id, CAST(coalesce(choice, 1) AS INTEGER) AS chosen_rank, CASE WHEN choice IS NULL THEN 'fallback' ELSE 'llm' END AS confidence FROM ch JOIN part ON p_partkey = mention_id + coalesce(choice, 1) - 1",
 }
+ORACLES["llm_disambiguate_fake"] = f"""WITH p AS ({ORACLES["prompt_build"]}), a AS (SELECT mention_id, n, len(regexp_extract_all(prompt, '[^\\s]+')) % 3 + 1 AS c FROM p)
+SELECT mention_id, p_partkey AS entity_id, CAST(CASE WHEN c <= n THEN c ELSE 1 END AS INTEGER) AS chosen_rank, CASE WHEN c <= n THEN 'llm' ELSE 'fallback' END AS confidence, p_name AS preferred_label
+FROM a JOIN part ON p_partkey = mention_id + CASE WHEN c <= n THEN c ELSE 1 END - 1"""
