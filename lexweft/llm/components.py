@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,19 +46,15 @@ def components(edges: DataFrame) -> DataFrame:
         m = both.groupBy(F.col("a").alias("v")).agg(F.min(rank("b")).alias("w"))
         step = written(m.select("v", F.least(rank("v"), "w")["n"].alias("m")), "step")
         maps.append(step)
-        to = lambda c, s=step: s.select(F.col("v").alias(c), F.col("m").alias(f"m{c}"))
+        to = lambda c, s=small(step): s.select(F.col("v").alias(c), F.col("m").alias(f"m{c}"))
         e = e.join(to("a"), "a").join(to("b"), "b").select(F.col("ma").alias("a"), F.col("mb").alias("b")).filter("a <> b").distinct()
         e = written(e.mapInArrow(_forest, "a long, b long"), "edges")
     if not maps:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     label = maps[-1].select(F.col("v").alias("node"), F.col("m").alias("r"))
     for step in reversed(maps[:-1]):
-        known = label.select(F.col("node").alias("m"), "r")
-        label = step.join(known, "m", "left").select(F.col("v").alias("node"), _or(F.col("r"), F.col("m")).alias("r"))
+        known = small(label.select(F.col("node").alias("m"), "r"))
+        label = step.join(known, "m", "left").select(F.col("v").alias("node"), F.coalesce("r", "m").alias("r"))
     label = written(label, "labels")
     low = label.groupBy("r").agg(F.min("node").alias("component"))
     return label.join(low, "r").select("node", "component")
-
-
-def _or(a: Column, b: Column) -> Column:
-    return F.coalesce(a, b)

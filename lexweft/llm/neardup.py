@@ -9,30 +9,33 @@ of the signature's places, so its values are spread without repetition, which lo
 stops at the first round that can no longer lower any of its places.
 
 Signatures are cut into BANDS bands of ROWS values. Classes that share a band meet in a bucket. No bucket is ever
-expanded into all its pairs: its smallest member is compared with each other one; classes that end up in one
-component are settled. Buckets that still hold several components are paired up if they are small; a larger one is
-split by every other band that its members share, and the parts are treated alike. At similarity 0.8 a pair shares
-no band with probability (1 - 0.8**4)**32, about 5e-8; each split adds a like amount.
+expanded into all its pairs: each member is compared with two members drawn by a hash, so that every class meets
+others at random in each of its buckets, and classes that end up in one component are settled. Members of buckets
+that still hold several components meet once more by their rarest shingles: similar sets must share one of the
+first n - ceil(0.8 n) + 1 in an order by document frequency, so these groups miss nothing, and common passages drop
+out of them. There, what is outside the group's largest component is compared with the other components. Before
+texts are fetched, pairs must pass a bound: each set has a bitmap of the parities of its hashed elements, and the bits
+in which two bitmaps differ are at most the elements in which the sets differ. The bound never rejects a link. At
+similarity 0.8 a pair shares none of the 32 bands with probability (1 - 0.8**4)**32, about 5e-8.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, row_chunks, table, text_bytes, words_of, written
+from .common import U64, discard, mix64, row_chunks, small, table, text_bytes, words_of, written
 from .components import components
 
 ROWS, BANDS = 4, 32
 PLACES = ROWS * BANDS
-#: Members up to which an unsettled bucket is paired up directly: at most this many partners per member.
-SMALL_BUCKET = 64
-#: Splits of a bucket; members that still share so many bands (16 values and more) are paired up at any size.
-MOST_SPLITS = 3
+#: 64-bit words of a set's parity bitmap.
+WORDS = 8
 _STEP = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0x27D4EB2F165667C5))
 
 
@@ -116,6 +119,7 @@ def _sketcher(k: int):
                 full = [i for i, s in enumerate(sets) if len(s)]
                 bands = np.zeros((len(sets), BANDS), np.int64)
                 digest = [b""] * len(sets)
+                bits = np.zeros((len(sets), WORDS), np.int64)
                 if full:
                     v = superminhash([sets[i] for i in full]).view(U64).reshape(len(full), BANDS, ROWS)
                     x = np.zeros((len(full), BANDS), U64)
@@ -124,15 +128,17 @@ def _sketcher(k: int):
                     bands[full] = mix64(x + np.arange(BANDS, dtype=U64) * _STEP[2]).view(np.int64)
                     for i in full:
                         s = sets[i]
+                        odd = np.bincount((mix64(s ^ _STEP[0]) % U64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+                        bits[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
                         digest[i] = np.array([mix64(s).sum(dtype=U64), mix64(s ^ _STEP[3]).sum(dtype=U64)], U64).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(a, b - a),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(digest, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1), pa.int64())),
+                        *(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1), pa.int64())) for x in (bands, bits)),
                     ],
-                    names=["doc_id", "n_shingles", "digest", "bands"],
+                    names=["doc_id", "n_shingles", "digest", "bands", "bits"],
                 )
 
     return sketch
@@ -161,6 +167,33 @@ def _verifier(k: int, percent: int):
     return verify
 
 
+def _exploder(k: int):
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = text_bytes(batch.column("text"))
+            ids, n = batch.column("doc_id").to_numpy(), batch.column("n").to_numpy()
+            for a, b in row_chunks(off, 1 << 20):
+                sets = shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], k)
+                size = [len(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], size)), pa.array(np.repeat(n[a:b], size)), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "n", "token"])
+
+    return explode
+
+
+def prefix_groups(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, n, key): each document of ``rows`` (doc_id, n, text) under its rarest shingles, by frequency in ``rows``.
+
+    Two sets whose similarity is ``percent`` or more share a key. Keys of one document only are left out.
+    """
+    tokens = written(rows.select("doc_id", "n", "text").mapInArrow(_exploder(k), "node long, n long, token long"), "tokens")
+    df = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("node").orderBy("df", "token")
+    ranked = tokens.join(df, "token").withColumn("r", F.row_number().over(w))
+    out = written(ranked.filter(f"r <= n - ceil({percent} * n / 100D) + 1 AND df > 1").select("node", "n", F.col("token").alias("key")), "groups")
+    discard(tokens)
+    return out
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -169,67 +202,66 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     doc_id is not linked: its component_id is null and it is kept. Repeated rows share a component; rows that
     share a doc_id are one document, so each of them is kept if the document is.
     """
-    sketch = written(docs.select("doc_id", "text").mapInArrow(_sketcher(k), "doc_id long, n_shingles long, digest binary, bands array<long>"), "sketch")
+    sketch = written(docs.select("doc_id", "text").mapInArrow(_sketcher(k), "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"), "sketch")
     usable = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
     buckets = written(classes.select("node", "n", F.explode("bands").alias("key")), "buckets")
     texts = docs.select("doc_id", "text")
-    edges: list[DataFrame] = []
-    label: DataFrame | None = None
-    small: DataFrame | None = None
-    splits = 0
-    while True:
-        low = buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("c")).filter("c > 1")
-        pairs = buckets.join(low, "key").select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
-        if label is not None:  # what is in one component needs no more pairs
-            at = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))  # noqa: E731, B023
-            pairs = pairs.unionByName(small).join(at("a"), "a", "left").join(at("b"), "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)")
-        pairs = written(pairs.filter(f"a <> b AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct(), "pairs")
-        if pairs.isEmpty():
-            found = None
-        else:
-            ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-            t = written(texts.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
-            one = pairs.join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-            two = one.join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-            found = written(two.select("a", "b", "ta", "tb").mapInArrow(_verifier(k, percent), "a long, b long"), "links")
-            edges.append(found)
-        if edges and found is not None:
-            every = edges[0]
-            for e in edges[1:]:
-                every = every.union(e)
-            label = written(components(every), "label")
-        if label is None:
-            break
-        # Buckets that still hold several components.
-        known = buckets.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo <> hi AND size > 2").select("key", "size")
-        mixed = written(mixed, "mixed")
-        if mixed.isEmpty():
-            break
-        members = known.join(mixed, "key")
-        limit = F.lit(SMALL_BUCKET) if splits < MOST_SPLITS else F.lit(None).cast("int")
-        few = members.filter(F.coalesce(F.col("size") <= limit, F.lit(True)))
-        other = few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("c2"))
-        small = written(few.join(other, "key").filter("node < b AND c <> c2").select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb").distinct(), "small")
-        # A larger one is split by the other bands of its members; its own band keeps nothing apart and is left out.
-        hot = members.filter(F.col("size") > limit).join(classes.select("node", "bands"), "node")
-        hot = hot.select("node", "n", "key", F.explode("bands").alias("other")).filter("key <> other")
-        buckets = written(hot.select("node", "n", F.xxhash64("key", "other").alias("key")), "buckets")
-        splits += 1
-        if buckets.isEmpty() and small.isEmpty():
-            break
-    if label is None:
-        member = classes.select("digest", F.col("node").alias("component_id"))
-    else:
-        member = classes.join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    drawn = F.struct(F.xxhash64("key", "node").alias("h"), "node", "n")
+    low = buckets.groupBy("key").agg(F.min(drawn).alias("p"), F.max(drawn).alias("q"), F.count("*").alias("c")).filter("c > 1")
+    met = buckets.join(low, "key").select("node", "n", F.explode(F.array("p", "q")).alias("x")).select("node", "n", F.col("x.node").alias("other"), F.col("x.n").alias("m"))
+    pairs = _ordered(met, percent)
+    for c in "ab":
+        pairs = pairs.join(classes.select(F.col("node").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}")), c)
+    pairs = pairs.filter(_may_link("bits_a", "bits_b", F.col("n_a") + F.col("n_b"), percent)).select("a", "b")
+    links = _verified(pairs, texts, k, percent)
+    label = small(written(components(links), "label"))
+    known = buckets.join(label, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo <> hi AND size > 2").select("key")
+    open_ = written(known.join(mixed, "key").select(F.col("node").alias("doc_id"), "n").distinct(), "open")
+    if not open_.isEmpty():
+        groups = prefix_groups(texts.join(small(open_), "doc_id"), k, percent).join(label, "node", "left").withColumn("c", F.coalesce("component", "node"))
+        groups = written(groups.select("key", "node", "n", "c").join(classes.select("node", "bits"), "node").distinct(), "members")
+        sizes = groups.groupBy("key", "c").agg(F.count("*").alias("s"))
+        main = sizes.groupBy("key").agg(F.max_by("c", F.struct("s", "c")).alias("main"), F.count("*").alias("k")).filter("k > 1")
+        minor = groups.join(main, "key").filter("c <> main").select(F.col("key").alias("key2"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("c").alias("c2"), F.col("bits").alias("bits2"))
+        fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & _may_link("bits", "bits2", F.col("n") + F.col("m"), percent)
+        met = groups.join(minor, (F.col("key") == F.col("key2")) & (F.col("c") != F.col("c2")) & fits).select("node", "n", "other", "m")
+        pairs = _ordered(met, percent)
+        links = links.union(_verified(pairs, texts, k, percent))
+        label = small(written(components(links), "label"))
+    member = classes.join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     linked = usable.select("doc_id", "n_shingles", "digest").join(member, "digest").select("doc_id", "n_shingles", "component_id")
-    # rows that share a doc_id but not a text are one document
     alone = sketch.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _may_link(bits: str, other: str, sizes: Column, percent: int) -> Column:
+    """Whether the bitmaps leave room for the similarity: differing elements <= (100 - percent) / (100 + percent) of both sizes."""
+    differ = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(bits)[i].bitwiseXOR(F.col(other)[i])) for i in range(WORDS)])
+    return differ * (100 + percent) <= sizes * (100 - percent)
+
+
+def _ordered(met: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b), a < b, of (node, n, other, m) whose sizes allow the similarity."""
+    fits = met.filter(f"node <> other AND 100 * least(n, m) >= {percent} * greatest(n, m)")
+    return fits.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) among ``pairs``, confirmed on the full sets of both texts."""
+    pairs = written(pairs, "pairs")
+    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    t = written(texts.join(small(ids), "doc_id", "left_semi"), "texts")
+    one = pairs.join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    two = one.join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    found = written(two.select("a", "b", "ta", "tb").mapInArrow(_verifier(k, percent), "a long, b long"), "links")
+    for x in (pairs, ids, t):
+        discard(x)
+    return found
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
