@@ -205,7 +205,7 @@ def score_chunk(data: np.ndarray, off: np.ndarray, lang: np.ndarray, look: Looku
         back = look.get(_key("b", k - 1, of[todo], x >> U64(8)))
         total[todo] += np.where(np.isnan(back), 0.0, back)
     total[todo] += np.log(1 / 256)
-    return np.bincount(rows, total[at], n), np.bincount(rows, minlength=n)
+    return np.bincount(rows, total[at], n).astype(np.float64), np.bincount(rows, minlength=n)
 
 
 def _scorer(shared):

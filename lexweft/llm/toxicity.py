@@ -87,7 +87,7 @@ def fit(data: np.ndarray, off: np.ndarray, labels: np.ndarray, epochs: int = 150
     pair = np.unique(same.astype(np.int64)[of] * (1 << BITS) + words)
     df = np.bincount(pair % (1 << BITS), minlength=1 << BITS)
     hot = np.bincount(pair % (1 << BITS), toxic_share[pair // (1 << BITS)], 1 << BITS)
-    share = toxic_share.mean()
+    share = np.clip(toxic_share.mean(), 1e-6, 1 - 1e-6)
     used = (df >= seen_at_least) & (hot - df * share >= deviations * np.sqrt(df * share * (1 - share)))
     keep = used[words]
     words, of = words[keep], of[keep]
@@ -121,7 +121,7 @@ def score_rows(data: np.ndarray, off: np.ndarray, model: Model) -> tuple[np.ndar
     z = _sentence_logits(words, of, len(row), model)
     p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     alone = 1 / (1 + np.exp(-np.clip(model.bias, -30, 30)))
-    log_not = np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-9)), n)
+    log_not = np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-9)), n).astype(np.float64)
     some = np.bincount(row, minlength=n) > 0
     log_not[~some] = np.log1p(-min(alone, 1 - 1e-9))
     best, at, end = np.full(n, alone), np.zeros(n, np.int64), np.zeros(n, np.int64)
