@@ -64,6 +64,12 @@ def expansion_gain(before: DataFrame, after: DataFrame, gold: DataFrame) -> Data
     return n.join(F.broadcast(right)).select("mentions", "added", F.round(F.col("added") / F.when(F.col("mentions") > 0, F.col("mentions")), 6).alias("average"), "gold_mentions")  # one row each
 
 
+def abbreviation_counts(mentions: DataFrame) -> DataFrame:
+    """(mentions, likely, expanded, by_document, by_dictionary, by_model) of rows with likely, expansion and source."""
+    n = lambda s: F.count_if(F.col("expansion").isNotNull() & (F.col("source") == s)).alias(f"by_{s}")
+    return mentions.agg(F.count("*").alias("mentions"), F.count_if("likely").alias("likely"), F.count("expansion").alias("expanded"), *[n(s) for s in ("document", "dictionary", "model")])
+
+
 def rule_counts(ranked: DataFrame) -> DataFrame:
     """(rule, mentions): mentions in which a rule changed some candidate."""
     per = ranked.groupBy("mention_id").agg(*[F.bool_or(F.col(r) != 0).alias(r) for r in ("r5", "r6", "r7", "protected")])

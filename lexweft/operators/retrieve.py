@@ -1,7 +1,7 @@
 """Candidate retrieval: top-k labels of each query, then the best label of each entity, then top-k entities.
 
-Queries are a stated set. They are deduplicated and sent to the label table in blocks of ``BLOCK`` queries, so what
-is broadcast has a fixed size; every task keeps its own best rows of each query, and only those are shuffled.
+Queries are a stated set. They are deduplicated and compared with the label table in blocks of ``BLOCK`` queries, so
+what a task holds has a fixed size; every task keeps its own best rows of each query, and only those are shuffled.
 Ties go to the label that comes first.
 """
 
@@ -43,27 +43,40 @@ def best_per_entity(scored: DataFrame, k: int) -> DataFrame:
     return per.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _block_scorer(queries: list[str], limit: int, score: Callable[[str, list[str], LabelBlock | None], np.ndarray], sort: bool):
+def _score_block(queries: list[str], batch: pa.RecordBatch, limit: int, score: Callable[[str, list[str], LabelBlock | None], np.ndarray], sort: bool) -> pa.RecordBatch:
+    """The best ``limit`` labels of a batch for each query, and all that tie with the last one."""
+    labels = [sort_tokens(x or "") if sort else x or "" for x in batch.column("label_norm").to_pylist()]
+    block = LabelBlock(labels) if sort else None
+    ords = np.array(batch.column("label_ord").to_pylist(), np.int64)
+    ids = np.array(batch.column("entity_id").cast(pa.string()).to_pylist(), object)
+    order = np.lexsort((ids, ords))
+    out_q, out_i, out_s = [], [], []
+    for q in queries:
+        s = score(sort_tokens(q) if sort else q, labels, block)
+        take = order[np.argsort(-s[order], kind="stable")]
+        if len(take) > limit:
+            take = take[: limit + int((s[take[limit:]] == s[take[limit - 1]]).sum())]
+        out_q += [q] * len(take)
+        out_i.append(take)
+        out_s.append(s[take])
+    rows = pa.array(np.concatenate(out_i) if out_i else np.zeros(0, np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(out_q, pa.string()), *[batch.column(c).take(rows) for c in ("entity_id", "label", "label_ord")], pa.array(np.concatenate(out_s) if out_s else np.zeros(0))], names=["query", "entity_id", "label", "label_ord", "score"])
+
+
+def _against(queries: list[str], limit: int, score, sort: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = batch.column("label_norm").to_pylist()
-            labels = [sort_tokens(x or "") for x in labels] if sort else [x or "" for x in labels]
-            block = LabelBlock(labels) if sort else None
-            ords = np.array(batch.column("label_ord").to_pylist())
-            ids = np.array(batch.column("entity_id").cast(pa.string()).to_pylist(), object)
-            order = np.lexsort((ids, ords))
-            out_q, out_i, out_s = [], [], []
-            for q in queries:
-                s = score(sort_tokens(q) if sort else q, labels, block)
-                take = order[np.argsort(-s[order], kind="stable")]
-                # all rows that tie with the last one stay: the final order also looks at the entity
-                if len(take) > limit:
-                    take = take[: limit + int((s[take[limit:]] == s[take[limit - 1]]).sum())] if limit else take[:0]
-                out_q += [q] * len(take)
-                out_i.append(take)
-                out_s.append(s[take])
-            rows = pa.array(np.concatenate(out_i) if out_i else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.string()), *[batch.column(c).take(rows) for c in ("entity_id", "label", "label_ord")], pa.array(np.concatenate(out_s) if out_s else np.zeros(0))], names=["query", "entity_id", "label", "label_ord", "score"])
+            yield _score_block(queries, batch, limit, score, sort)
+
+    return run
+
+
+def _block_by_block(limit: int, score, sort: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                labels = batch.column("labels")[i].values
+                yield _score_block(batch.column("queries")[i].as_py(), pa.RecordBatch.from_struct_array(labels), limit, score, sort)
 
     return run
 
@@ -77,15 +90,19 @@ def _difflib(q: str, labels: list[str], block: LabelBlock | None) -> np.ndarray:
 
 
 def _in_blocks(queries: DataFrame, labels: DataFrame, limit: int, score, sort: bool) -> DataFrame:
-    texts = [r[0] for r in queries.select(F.lower("mention").alias("q")).filter("q IS NOT NULL").distinct().orderBy("q").collect()]
-    kind = labels.schema["entity_id"].dataType.simpleString()
-    schema = f"query string, entity_id {kind}, label string, label_ord long, score double"
+    """Scores of the stated queries against every label. One block of queries goes to where the labels are; of more,
+    each block meets each block of labels in a task of its own, so that neither side passes through the driver."""
+    q = queries.select(F.lower("mention").alias("q")).filter("q IS NOT NULL").distinct()
     rows = labels.select("entity_id", "label", "label_norm", F.col("label_ord").cast("long").alias("label_ord"))
-    parts = [rows.mapInArrow(_block_scorer(texts[i : i + BLOCK], limit, score, sort), schema) for i in range(0, max(len(texts), 1), BLOCK)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    schema = f"query string, entity_id {labels.schema['entity_id'].dataType.simpleString()}, label string, label_ord long, score double"
+    n = q.count()
+    if n <= BLOCK:
+        return rows.mapInArrow(_against([r[0] for r in q.orderBy("q").collect()], limit, score, sort), schema)
+    m = labels.count()
+    blocks, parts = -(-n // BLOCK), max(1, -(-m // BLOCK))
+    qb = q.groupBy(F.pmod(F.xxhash64("q"), F.lit(blocks))).agg(F.collect_list("q").alias("queries")).select("queries")
+    lb = rows.groupBy(F.pmod(F.xxhash64("entity_id", "label_ord"), F.lit(parts))).agg(F.collect_list(F.struct("entity_id", "label", "label_norm", "label_ord")).alias("labels")).select("labels")
+    return lb.crossJoin(qb).repartition(blocks * parts).mapInArrow(_block_by_block(limit, score, sort), schema)
 
 
 def fuzzy_topk(queries: DataFrame, labels: DataFrame, k: int = 10, over: int = 3) -> DataFrame:

@@ -136,13 +136,18 @@ def dedupe_keep_first(spark, d) -> DataFrame:
     return E.keep_first(e, ["user_id", "event_type"], "event_id")
 
 
+def abbreviation_diagnostics(spark, d) -> DataFrame:
+    p = T.table(spark, d, "part").select((F.length("p_brand") <= 7).alias("likely"), F.when(F.col("p_size") % 3 > 0, F.col("p_name")).alias("expansion"), F.element_at(F.array(*[F.lit(x) for x in ("document", "dictionary", "model")]), (F.col("p_size") % 3 + 1).cast("int")).alias("source"))
+    return E.abbreviation_counts(p)
+
+
 def fair_subset(spark, d) -> DataFrame:
     o = T.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("cui")).agg(F.sort_array(F.collect_set("o_orderpriority")).alias("ids"))
     c = T.table(spark, d, "customer").select(F.col("c_custkey").alias("cui"), "c_name")
     return c.join(o, "cui").select("cui", "c_name", F.array_join("ids", "|").alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (rule5_multi_source, rule6_type_penalty, rule7_overlap, rerank_full, rule_triggers, topic_detect, topic_rescore, topic_known, accuracy_at_k, phase_transitions, accuracy_by_type, expansion_diagnostics, gold_alias_expand, dedupe_keep_first, fair_subset)}
+QUERIES = {f.__name__: f for f in (rule5_multi_source, rule6_type_penalty, rule7_overlap, rerank_full, rule_triggers, topic_detect, topic_rescore, topic_known, accuracy_at_k, phase_transitions, accuracy_by_type, expansion_diagnostics, gold_alias_expand, dedupe_keep_first, abbreviation_diagnostics, fair_subset)}
 
 _STOP = ", ".join(f"'{w}'" for w in fixed.STOPWORDS)
 _TOK = lambda x: f"list_distinct([x FOR x IN regexp_extract_all(lower({x}), '[a-z0-9]+') IF length(x) >= 3 AND x NOT IN ({_STOP})])"
@@ -174,5 +179,6 @@ SELECT count(DISTINCT mention_id) AS mentions, count(*) AS added, round(count(*)
     "gold_alias_expand": """WITH a AS (SELECT p_name, p_partkey AS id FROM part WHERE p_size <= 3)
 SELECT p_partkey AS mention_id, CAST(p_partkey AS VARCHAR) AS gold FROM part UNION SELECT p_partkey, 'X' || p_size FROM part UNION SELECT x.id, CAST(y.id AS VARCHAR) FROM a x JOIN a y ON x.p_name = y.p_name AND x.id <> y.id""",
     "dedupe_keep_first": "SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1",
+    "abbreviation_diagnostics": "SELECT count(*) AS mentions, count(*) FILTER (length(p_brand) <= 7) AS likely, count(*) FILTER (p_size % 3 > 0) AS expanded, 0::BIGINT AS by_document, count(*) FILTER (p_size % 3 = 1) AS by_dictionary, count(*) FILTER (p_size % 3 = 2) AS by_model FROM part",
     "fair_subset": "SELECT c_custkey AS cui, c_name, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS ids FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2",
 }

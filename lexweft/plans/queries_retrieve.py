@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import dot, indel_ratio, lcs_length, token_sort_key
 from ..functions.text import significant_words
+from ..operators import dense as V
 from ..operators import expand as X
 from ..operators import merge as M
 from ..operators import retrieve as R
@@ -60,6 +61,15 @@ def multi_model_merge(spark, d) -> DataFrame:
     return R.merge_models(found).withColumn("mean_score", F.round("mean_score", 7))
 
 
+def dense_index_search(spark, d) -> DataFrame:
+    """Index of part names and brands by the built-in encoder; names as queries find themselves."""
+    e = T.table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("entity_id"), F.array_sort(F.collect_set("p_type")).alias("synonyms")).select("entity_id", F.col("p_name").alias("preferred_label"), "synonyms")
+    load = V.hashed_trigrams()
+    q = e.select(F.col("entity_id").alias("query"), F.upper("preferred_label").alias("mention"))
+    found = V.retrieve(q, V.build_index(e, load), load, 3).filter("rank = 1")
+    return V.score_candidates(found.join(q, "query").join(e.select("entity_id", "preferred_label"), "entity_id"), load).select("query", "entity_id", "score", F.round("dense", 3).alias("dense"))
+
+
 def hybrid_rescore(spark, d) -> DataFrame:
     e = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("p_partkey"), "embedding")
     zero = T.table(spark, d, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("q"))
@@ -121,7 +131,7 @@ def bridge_lookup(spark, d) -> DataFrame:
     return X.bridge_expansion(m, X.name_bridge(names, reached), have, known).select("mention_id", "entity_id", "score", F.col("ord").cast("long").alias("ord"), "origin")
 
 
-QUERIES = {f.__name__: f for f in (fuzzy_link_topk, fuzzy_token_blocked, difflib_topk, bm25_topk, boosted_search, exact_label_lookup, dense_knn_topk, multi_model_merge, hybrid_rescore, variant_union_first, abbrev_union_max, expand_merge_topk, subword_expand, tree_prefix_parents, bridge_two_hop, bridge_lookup)}
+QUERIES = {f.__name__: f for f in (fuzzy_link_topk, fuzzy_token_blocked, difflib_topk, bm25_topk, boosted_search, exact_label_lookup, dense_knn_topk, dense_index_search, multi_model_merge, hybrid_rescore, variant_union_first, abbrev_union_max, expand_merge_topk, subword_expand, tree_prefix_parents, bridge_two_hop, bridge_lookup)}
 
 _RATIO = f"200.0::DOUBLE * {T.lcs_sql('a', 'b')} / (length(a) + length(b))"
 _CLASS = "SELECT vec_id AS query, embedding FROM embeddings WHERE vec_id % 100 = 0"
@@ -181,6 +191,7 @@ SELECT query, entity_id, round(score, 6) AS score, CAST(row_number() OVER (PARTI
 SELECT query, doc_id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""",
     "exact_label_lookup": f"WITH {T.KB} SELECT p_partkey, upper(p_name) AS mention, entity_id, label FROM part JOIN kb ON p_name = label",
     "dense_knn_topk": f"WITH {_dense(3, 3)} SELECT query, entity_id, score, rank FROM x WHERE rank <= 3",
+    "dense_index_search": f"WITH {T.KB} SELECT entity_id AS query, entity_id, 1.0::DOUBLE AS score, 100.0::DOUBLE AS dense FROM kb",
     "multi_model_merge": f"""WITH a AS (WITH {_dense(5, 3, 1, 32)} SELECT * FROM x WHERE rank <= 5), b AS (WITH {_dense(5, 3, 33, 32)} SELECT * FROM x WHERE rank <= 5)
 SELECT query, entity_id, max(score) AS max_score, round(sum(score) / 2, 7) AS mean_score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2""",
     "hybrid_rescore": """WITH s AS (SELECT p_partkey, p_size, round(100 * list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(z.embedding AS DOUBLE[])), 4) AS dense

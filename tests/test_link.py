@@ -116,3 +116,31 @@ def test_stream(spark, tmp_path):
     q = link_stream(read_documents(spark, str(tmp_path / "in")), ents, str(tmp_path / "out"), str(tmp_path / "cp"), LinkConfig(use_expansion=False, use_topics=False))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).filter("entity_id = 'D008175'").count() == 1
+
+
+def test_blocks_of_queries_change_nothing(spark, monkeypatch):
+    from lexweft.operators import retrieve
+
+    names = [f"{a} {b}" for a in ("red", "blue", "small", "old") for b in ("bolt", "ring", "gear")]
+    labels = spark.createDataFrame([(i, n, n, i) for i, n in enumerate(names)], "entity_id long, label string, label_norm string, label_ord long")
+    q = spark.createDataFrame([(n[1:],) for n in names] + [(None,), ("",)], "mention string")
+    for find in (retrieve.fuzzy_topk, retrieve.difflib_topk):
+        one = sorted(map(tuple, find(q, labels, 2).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(retrieve, "BLOCK", 5)
+            assert sorted(map(tuple, find(q, labels, 2).collect())) == one
+        assert len(one) == 26
+
+
+def test_dense_index(spark):
+    from lexweft.operators import dense
+
+    load, wide = dense.hashed_trigrams(), dense.hashed_trigrams(128)
+    ents = spark.createDataFrame([(1, "lung cancer", ["Lung Cancer", "pulmonary carcinoma"]), (2, "aspirin", ["asa"]), (3, "heart attack", [])], "entity_id long, preferred_label string, synonyms array<string>")
+    index = dense.build_index(ents, load)
+    assert index.count() == 5
+    q = spark.createDataFrame([(7, "Aspirin"), (8, "heart attacks"), (9, None)], "query long, mention string")
+    got = {r["query"]: r["entity_id"] for r in dense.retrieve_with({"a": (index, load), "b": (dense.build_index(ents, wide), wide)}, q, 1).orderBy("max_score").collect()}
+    assert got[7] == 2 and got[8] == 3
+    c = spark.createDataFrame([(1, "lung cancer", "lung cancer"), (2, "lung cancer", "aspirin")], "mention_id long, mention string, preferred_label string")
+    assert [round(r["dense"]) == 100 for r in dense.score_candidates(c, load).orderBy("mention_id").collect()] == [True, False]
