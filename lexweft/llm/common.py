@@ -86,7 +86,7 @@ def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def row_chunks(off: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def row_chunks(off: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold ``most`` bytes at most, or one row each: bounds what a step keeps in memory."""
     i, n = 0, len(off) - 1
     while i < n:

@@ -114,7 +114,7 @@ def _sketcher(k: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = text_bytes(batch.column("text"))
-            for a, b in row_chunks(off, 1 << 20):
+            for a, b in row_chunks(off):
                 sets = shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], k)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 bands = np.zeros((len(sets), BANDS), np.int64)
@@ -151,7 +151,7 @@ def _verifier(k: int, percent: int):
             keep = []
             # the left text is often that of the row before: a bucket's smallest member meets each other one
             last: tuple[bytes, np.ndarray] | None = None
-            for a, b in row_chunks(oa + ob, 2 << 20):
+            for a, b in row_chunks(oa + ob):
                 right = shingle_sets(db[ob[a] : ob[b]], ob[a : b + 1] - ob[a], k)
                 for i in range(a, b):
                     raw = da[oa[i] : oa[i + 1]]
@@ -172,7 +172,7 @@ def _exploder(k: int):
         for batch in batches:
             data, off = text_bytes(batch.column("text"))
             ids, n = batch.column("doc_id").to_numpy(), batch.column("n").to_numpy()
-            for a, b in row_chunks(off, 1 << 20):
+            for a, b in row_chunks(off):
                 sets = shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], k)
                 size = [len(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], size)), pa.array(np.repeat(n[a:b], size)), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "n", "token"])
