@@ -87,13 +87,13 @@ def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = text_bytes(batch.column("text"))
         ids, keys = batch.column("doc_id"), batch.column("k").to_numpy()
-        for a, b in row_chunks(off, 1 << 20):
+        for a, b in row_chunks(off):
             base = off[a : b + 1] - off[a]
             digest, row, words, start, end = chunk_rows(data[off[a] : off[b]], base)
             seq = np.arange(len(row)) - np.searchsorted(row, row)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(row + a)), pa.array(keys[row + a]), pa.array(seq.astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(words.astype(np.int32)), pa.array((start - base[row]).astype(np.int64)), pa.array((end - base[row]).astype(np.int64))],
-                names=["doc_id", "k", "seq", "digest", "words", "start", "stop"],
+                [ids.take(pa.array(row + a)), pa.array(keys[row + a]), pa.array(seq.astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(words.astype(np.int32)), pa.array((start - base[row]).astype(np.int32)), pa.array((end - start).astype(np.int32))],
+                names=["doc_id", "k", "seq", "digest", "words", "start", "size"],
             )
 
 
@@ -106,15 +106,15 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     give their passages once.
     """
     rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("k"))
-    c = written(rows.mapInArrow(_chunker, "doc_id long, k long, seq int, digest long, words int, start long, stop long"), "chunks")
+    c = written(rows.mapInArrow(_chunker, "doc_id long, k long, seq int, digest long, words int, start int, size int"), "chunks")
     seen = c.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc <> last_doc").select("digest", "first_doc")
-    twice = c.join(seen, "digest").select("doc_id", "k", "seq", "words", "start", "stop", "first_doc").repartition("doc_id", "k").dropDuplicates(["doc_id", "k", "seq"])
+    twice = c.join(seen, "digest").select("doc_id", "k", "seq", "words", "start", "size", "first_doc").repartition("doc_id", "k").dropDuplicates(["doc_id", "k", "seq"])
     # consecutive chunks of one document share seq - rank
     run = F.col("seq") - F.row_number().over(Window.partitionBy("doc_id", "k").orderBy("seq"))
     out = (
         twice.withColumn("run", run)
         .groupBy("doc_id", "k", "run")
-        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"), F.min_by("first_doc", "seq").alias("first_doc"))
+        .agg(F.min("start").cast("long").alias("start"), F.max(F.col("start") + F.col("size")).cast("long").alias("stop"), F.sum("words").alias("n_words"), F.min_by("first_doc", "seq").alias("first_doc"))
         .filter(F.col("n_words") >= least_words)
     )
     return out.select("doc_id", "start", "stop", "n_words", "first_doc", (F.col("doc_id") == F.col("first_doc")).alias("kept"))
