@@ -32,6 +32,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that go to a Python worker at a time while a table is written: texts are long, and both sides hold a batch.
+ROWS_PER_BATCH = 2000
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -39,7 +44,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_ARROW_ROWS)
+    spark.conf.set(_ARROW_ROWS, str(min(int(before), ROWS_PER_BATCH)) if int(before) > 0 else str(ROWS_PER_BATCH))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexweft_path = path
     return out
