@@ -7,8 +7,10 @@ side lacks becomes optional; neighbours of one kind become a repeated group; tex
 that are always the same stay part of the template. Alignment runs in the tasks that read the pages, so that only
 distinct structures travel, and meets per host in salted groups.
 
-The wrapper tells which slots are content: those inside its main container (article, main) if the host has one;
-else all that are neither boilerplate by element or class nor constant text of the template.
+Each page is then matched with its host's wrapper, which gives every text a slot of the expression. A text that
+stands in a slot on all pages that have the slot is template; so a menu is found by its slot, also as a repeated
+group. Content are the other slots: those inside the main container (article, main) if the host has one, where a
+repeated group counts as content whatever recurs in it; else all that are not boilerplate by element or class.
 """
 
 from __future__ import annotations
@@ -71,9 +73,10 @@ def _marks(name: str, attrs: str) -> tuple[str, bool, bool]:
     return label, name in BOILERPLATE or bool(words & BOILERPLATE_WORDS), main
 
 
-def read_page(page: str, tree: bool = False) -> tuple[list[tuple[str, bool, bool, str]], Node]:
+def read_page(page: str, tree: bool = False, raw: bool = False) -> tuple[list[tuple[str, bool, bool, str]], Node]:
     """(slots in order, each with path, boilerplate, in main container, text; structure of the page if ``tree``).
 
+    With ``raw`` neighbours are not folded, and a slot of the structure is its number.
     Never fails: a tag that is cut off at the end is dropped, end tags without a start are passed over.
     """
     slots: list[tuple[str, bool, bool, str]] = []
@@ -88,13 +91,17 @@ def read_page(page: str, tree: bool = False) -> tuple[list[tuple[str, bool, bool
             if not blank and (text := " ".join(html.unescape("".join(parts)).split())):
                 _, path, bad, main, node = stack[-1]
                 slots.append((path, bad, main, text))
-                if tree and (not node[1] or node[1][-1] != "#"):
+                if raw:
+                    node[1].append(len(slots) - 1)
+                elif tree and (not node[1] or node[1][-1] != "#"):
                     node[1].append("#")
             parts, blank = [], True
 
     def close() -> None:
         *_, node = stack.pop()
-        if tree and len(stack) < MOST_DEPTH:
+        if raw and len(stack) < MOST_DEPTH:
+            stack[-1][4][1].append(node)
+        elif tree and len(stack) < MOST_DEPTH:
             _append(stack[-1][4], node)
 
     if m := _CUT.search(page, max(0, page.rfind("<"))):
@@ -219,14 +226,90 @@ def has_main(items: list) -> bool:
     return any(x != "#" and ((x[0].split(".")[0] in ("article", "main") or bool(set(x[0].split(".")[1:]) & MAIN_WORDS)) and slot(x[1]) or has_main(x[1])) for x in items)
 
 
-def content(page: str, main_known: bool, template: dict[str, int]) -> str:
-    """Text of a page under its host's wrapper; blocks in order, one a line."""
-    slots, _ = read_page(page)
-    if main_known and any(main and not bad for _, bad, main, _ in slots):
-        return "\n".join(text for _, bad, main, text in slots if main and not bad)
-    rest = [(path, text) for path, bad, _, text in slots if not bad]
-    kept = [text for path, text in rest if template.get(path) != zlib.crc32(text.encode("utf-8", "replace"))]
-    return "\n".join(kept or [text for _, text in rest])
+class Wrapper:
+    """A host's wrapper with its slots numbered in order, and whether each stands in a repeated group."""
+
+    def __init__(self, items: list):
+        self.repeated: list[bool] = []
+        self.items = self._numbered(items, False)
+
+    def _numbered(self, items: list, repeated: bool) -> list[tuple]:
+        out = []
+        for x in items:
+            if x == "#":
+                out.append(("#", len(self.repeated)))
+                self.repeated.append(repeated)
+            else:
+                out.append((x[0], self._numbered(x[1], repeated or x[2])))
+        return out
+
+    def places(self, root: Node, n: int) -> list[int]:
+        """The slot of each of the ``n`` texts of a page (its raw structure ``root``), -1 for one that does not match."""
+        out = [-1] * n
+        todo = [(root[1], self.items)]
+        while todo:
+            children, items = todo.pop()
+            groups: list[tuple[str, list]] = []
+            for c in children:
+                name = "#" if isinstance(c, int) else c[0]
+                if not groups or groups[-1][0] != name:
+                    groups.append((name, []))
+                groups[-1][1].append(c)
+            for (_, members), (name, inner) in _matched(groups, items):
+                if name == "#":
+                    for c in members:
+                        out[c] = inner
+                else:
+                    todo.extend((c[1], inner) for c in members)
+        return out
+
+
+def _matched(groups: list[tuple], items: list[tuple]) -> list[tuple[tuple, tuple]]:
+    """Pairs of one kind in the order of both: each group at the first place it fits, or the most that can be paired."""
+    out, j = [], 0
+    for g in groups:
+        while j < len(items) and items[j][0] != g[0]:
+            j += 1
+        if j == len(items):
+            break
+        out.append((g, items[j]))
+        j += 1
+    if len(out) == len(groups):
+        return out
+    best = [[0] * (len(items) + 1) for _ in range(len(groups) + 1)]
+    for i in range(len(groups) - 1, -1, -1):
+        for j in range(len(items) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if groups[i][0] == items[j][0] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(groups) and j < len(items):
+        if groups[i][0] == items[j][0]:
+            out.append((groups[i], items[j]))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def _checksum(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "replace"))
+
+
+def content(page: str, main_known: bool, template: dict[int, set[int]], wrapper: Wrapper | None = None) -> str:
+    """Text of a page under its host's wrapper; blocks in order, one a line.
+
+    ``template`` has the checksums of the texts that a slot of the wrapper holds on every page.
+    """
+    slots, root = read_page(page, raw=True)
+    places = wrapper.places(root, len(slots)) if wrapper else [-1] * len(slots)
+    fixed = [_checksum(s[3]) in template.get(at, ()) for s, at in zip(slots, places, strict=True)]
+    if main_known and (inside := [i for i, (_, bad, main, _) in enumerate(slots) if main and not bad]):
+        # inside the container a repeated group is content
+        kept = [i for i in inside if not fixed[i] or wrapper.repeated[places[i]]]
+        return "\n".join(slots[i][3] for i in kept or inside)
+    rest = [i for i, (_, bad, _, _) in enumerate(slots) if not bad]
+    return "\n".join(slots[i][3] for i in [i for i in rest if not fixed[i]] or rest)
 
 
 def host() -> Column:
@@ -235,24 +318,40 @@ def host() -> Column:
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (host, structure), and per (host, path) outside main containers whether the text is constant."""
+    """Distinct (host, structure) and the number of pages of each."""
     for batch in batches:
         seen: dict[tuple[str, str], int] = {}
-        consts: dict[tuple[str, str], list[int]] = {}
         for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            slots, root = read_page(page or "", tree=True)
+            _, root = read_page(page or "", tree=True)
             key = (h, json.dumps(root[1], separators=(",", ":")))
             seen[key] = seen.get(key, 0) + 1
-            for path, bad, main, text in slots:
-                if not bad and not main:
-                    v = zlib.crc32(text.encode("utf-8", "replace"))
-                    c = consts.setdefault((h, path), [v, v, 0])
-                    c[0], c[1], c[2] = min(c[0], v), max(c[1], v), c[2] + 1
-        rows = [(h, s, None, None, None, n) for (h, s), n in seen.items()] + [(h, None, p, *c) for (h, p), c in consts.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, _OBSERVED.types, strict=True)], schema=_OBSERVED)
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([s for _, s in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["host", "structure", "n"])
 
 
-_OBSERVED = pa.schema([("host", pa.string()), ("structure", pa.string()), ("path", pa.string()), ("lo", pa.int64()), ("hi", pa.int64()), ("n", pa.int64())])
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per (host, slot of its wrapper): pages, least and largest checksum of these pages, and the texts all of them have there."""
+    for batch in batches:
+        wrappers: dict[str, Wrapper] = {}
+        held: dict[tuple[str, int], list] = {}
+        for i, (h, page) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("host", "html")), strict=True)):
+            if h not in wrappers:
+                wrappers[h] = Wrapper(json.loads(batch.column("structure")[i].as_py() or "[]"))
+            slots, root = read_page(page or "", raw=True)
+            texts: dict[int, set[int]] = {}
+            for (_, bad, _, text), at in zip(slots, wrappers[h].places(root, len(slots)), strict=True):
+                if at >= 0 and not bad:
+                    texts.setdefault(at, set()).add(_checksum(text))
+            v = _checksum(page or "")
+            for at, found in texts.items():
+                if (x := held.get((h, at))) is None:
+                    held[h, at] = [1, v, v, found]
+                else:
+                    x[:] = [x[0] + 1, min(x[1], v), max(x[2], v), x[3] & found]
+        cols = [[h for h, _ in held], [at for _, at in held], *([x[i] for x in held.values()] for i in range(3)), [sorted(x[3]) for x in held.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _FILLED.types, strict=True)], schema=_FILLED)
+
+
+_FILLED = pa.schema([("host", pa.string()), ("slot", pa.int32()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("texts", pa.list_(pa.int64()))])
 
 
 def _merge(group: pd.DataFrame) -> pd.DataFrame:
@@ -266,26 +365,45 @@ def _merge(group: pd.DataFrame) -> pd.DataFrame:
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         items = [json.loads(s) for s in batch.column("structure").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([expression(x) for x in items], pa.string()), pa.array([has_main(x) for x in items], pa.bool_()), batch.column("n")], names=["host", "wrapper", "has_main", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("structure"), pa.array([expression(x) for x in items], pa.string()), pa.array([has_main(x) for x in items], pa.bool_()), batch.column("n")], names=["host", "structure", "wrapper", "has_main", "n"])
+
+
+def _beside(pages: DataFrame, w: DataFrame) -> DataFrame:
+    """``pages`` with the columns of their host in ``w``, which is sent to the tasks if it is small."""
+    size = w.agg(F.coalesce(F.sum(sum((F.coalesce(F.length(F.col(c) if c in ("host", "structure") else F.to_json(c)), F.lit(0)) for c in w.columns if c != "has_main"), F.lit(32))), F.lit(0))).first()[0]
+    return pages.join(F.broadcast(w) if size <= 32 << 20 else w, "host", "left")
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, has_main, n pages, template: map of path to the checksum of its constant text) of every host."""
-    seen = written(pages.select(host().alias("host"), "html").mapInArrow(_observe, "host string, structure string, path string, lo long, hi long, n long"), "observed")
-    s = written(seen.filter("structure IS NOT NULL").groupBy("host", "structure").agg(F.sum("n").alias("n")), "structures")
+    """(host, structure, wrapper, has_main, n pages, template: map of slot to the checksums of its constant texts) of every host.
+
+    A text is constant if every page that has the slot has the text there: ``TEMPLATE_PAGES`` pages at least, not all alike.
+    """
+    p = pages.select(host().alias("host"), "html")
+    seen = written(p.mapInArrow(_observe, "host string, structure string, n long"), "observed")
+    s = written(seen.groupBy("host", "structure").agg(F.sum("n").alias("n")), "structures")
     while (most := s.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
         salts = max(1, most // GROUP)
         s = s.withColumn("salt", F.pmod(F.xxhash64("structure"), F.lit(salts)))
         s = written(s.groupBy("host", "salt").applyInPandas(_merge, "host string, structure string, n long"), "structures")
-    found = s.mapInArrow(_describe, "host string, wrapper string, has_main boolean, n long")
-    const = seen.filter("path IS NOT NULL").groupBy("host", "path").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("c")).filter(f"lo = hi AND c >= {TEMPLATE_PAGES}")
-    const = const.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "lo"))).alias("template"))
+    found = s.mapInArrow(_describe, "host string, structure string, wrapper string, has_main boolean, n long")
+    filled = written(_beside(p, s.select("host", "structure")).select("host", "structure", "html").mapInArrow(_fill, "host string, slot int, n long, lo long, hi long, texts array<long>"), "filled")
+    slots = filled.groupBy("host", "slot").agg(F.sum("n").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter(f"lo <> hi AND c >= {TEMPLATE_PAGES}")
+    texts = filled.select("host", "slot", "n", F.explode("texts").alias("text")).groupBy("host", "slot", "text").agg(F.sum("n").alias("m"))
+    const = texts.join(slots, ["host", "slot"]).filter("m = c").groupBy("host", "slot").agg(F.collect_list("text").alias("texts"))
+    const = const.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("slot", "texts"))).alias("template"))
     return found.join(const, "host", "left")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [content(page or "", bool(m), dict(t or ())) for page, m, t in zip(batch.column("html").to_pylist(), batch.column("has_main").to_pylist(), batch.column("template").to_pylist(), strict=True)]
+        known: dict[str, tuple[Wrapper, dict[int, set[int]]]] = {}
+        texts = []
+        for i, (h, page, main) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("host", "html", "has_main")), strict=True)):
+            if h not in known:
+                known[h] = Wrapper(json.loads(batch.column("structure")[i].as_py() or "[]")), {k: set(v) for k, v in batch.column("template")[i].as_py() or ()}
+            wrapper, template = known[h]
+            texts.append(content(page or "", bool(main), template, wrapper))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -295,11 +413,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     A null html is empty and gives an empty text; pages without a host share the wrapper of the empty host.
     Repeated rows give a row each.
     """
-    w = written(wrappers(pages).select("host", "has_main", "template"), "wrappers")
-    p = pages.select("page_id", "url", "html", host().alias("host"))
-    size = w.agg(F.coalesce(F.sum(F.length("host") + F.coalesce(F.length(F.to_json("template")), F.lit(0)) + 32), F.lit(0))).first()[0]
-    w = F.broadcast(w) if size <= 32 << 20 else w
-    return p.join(w, "host", "left").select("page_id", "url", "html", "has_main", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    w = written(wrappers(pages).select("host", "structure", "has_main", "template"), "wrappers")
+    p = _beside(pages.select("page_id", "url", "html", host().alias("host")), w)
+    return p.select("page_id", "url", "html", "host", "structure", "has_main", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

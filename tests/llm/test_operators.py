@@ -511,6 +511,18 @@ def test_template_text_is_left_out_without_a_container(spark):
     assert {r["text"] for r in html.main_text(pages_of(spark, rows)).collect()} == {f"Story number {i}" for i in range(5)}
 
 
+def test_wrapper_slots_tell_menus_from_content(spark):
+    """A menu without marks is a repeated group of constant texts; the story's slots vary. Inside an article constant slots go too."""
+    menu = "<div><ul><li>Home</li><li>News</li><li>About</li></ul></div>"
+    rows = [(i, "http://a.org/x", page(f"{menu}<div><h2>Title {i}</h2><p>Story {i}</p>{'<p>More of it</p>' * (i % 2)}</div>")) for i in range(6)]
+    rows += [(10 + i, "http://b.org/x", page(f"<article><span>x</span><div>Read it aloud</div><h1>Head {i}</h1><p>Text {i}</p><p>Licence</p></article>")) for i in range(4)]
+    rows += [(20 + i, "http://c.org/x", page("<div>One</div><p>Two</p>")) for i in range(4)]  # copies of one page prove nothing
+    got = {r["page_id"]: r["text"] for r in html.main_text(pages_of(spark, rows)).collect()}
+    assert all(got[i] == f"Title {i}\nStory {i}" + "\nMore of it" * (i % 2) for i in range(6))
+    assert all(got[10 + i] == f"Head {i}\nText {i}\nLicence" for i in range(4))
+    assert all(got[20 + i] == "One\nTwo" for i in range(4))
+
+
 def test_alignment_is_a_generalisation():
     a = json.loads('[["ul",[["li",["#"],true,false]],false,false],"#"]')
     b = json.loads('[["ul",[["li",["#"],false,false]],false,false],["p",["#"],false,false],"#"]')
