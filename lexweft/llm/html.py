@@ -11,6 +11,8 @@ Each page is then matched with its host's wrapper, which gives every text a slot
 stands in a slot on all pages that have the slot is template; so a menu is found by its slot, also as a repeated
 group. Content are the other slots: those inside the main container (article, main) if the host has one, where a
 repeated group counts as content whatever recurs in it; else all that are not boilerplate by element or class.
+Words of a class are whole tokens; marks around a main container do not outweigh it, and where all of a page is
+marked by words, the slots that vary are content.
 """
 
 from __future__ import annotations
@@ -52,36 +54,39 @@ GROUP = 64
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?](?:[^>]*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+(?:-[a-z]+)*")
 _CUT = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 
 Node = list  # [label, children, repeated, optional]; a child is a Node or the slot "#"
 
 
-def _marks(name: str, attrs: str) -> tuple[str, bool, bool]:
-    """(label, boilerplate, main container) of an element."""
+#: Marks of boilerplate: by a word of class, id or role, and by element.
+BY_WORD, BY_TAG = 1, 2
+
+
+def _marks(name: str, attrs: str) -> tuple[str, int, bool]:
+    """(label, boilerplate, main container) of an element; words are whole tokens, and those of the page itself say nothing."""
     label, words = name, set()
     if attrs and "=" in attrs:
         for key, a, b, c in _ATTR.findall(attrs):
             value = (a or b or c).lower()
             if key.lower() == "class" and value:
                 label = f"{name}.{'.'.join(sorted(value.split()))}"
-            for w in _WORD.findall(value.replace("_", "-")):
-                words.add(w)
-                words.update(w.split("-"))
+            words.update(value.replace("_", "-").split())
+    if name in ("html", "body"):
+        words = set()
     main = name in ("article", "main") or bool(words & MAIN_WORDS)
-    return label, name in BOILERPLATE or bool(words & BOILERPLATE_WORDS), main
+    return label, BY_TAG if name in BOILERPLATE else BY_WORD if words & BOILERPLATE_WORDS else 0, main
 
 
-def read_page(page: str, tree: bool = False, raw: bool = False) -> tuple[list[tuple[str, bool, bool, str]], Node]:
-    """(slots in order, each with path, boilerplate, in main container, text; structure of the page if ``tree``).
+def read_page(page: str, tree: bool = False, raw: bool = False) -> tuple[list[tuple[str, int, bool, str, int]], Node]:
+    """(slots in order, each with path, boilerplate, in main container, text, boilerplate inside that container; structure of the page if ``tree``).
 
     With ``raw`` neighbours are not folded, and a slot of the structure is its number.
     Never fails: a tag that is cut off at the end is dropped, end tags without a start are passed over.
     """
-    slots: list[tuple[str, bool, bool, str]] = []
+    slots: list[tuple[str, int, bool, str, int]] = []
     root: Node = ["", [], False, False]
-    stack: list[tuple[str, str, bool, bool, Node]] = [("", "", False, False, root)]
+    stack: list[tuple[str, str, int, bool, int, Node]] = [("", "", 0, False, 0, root)]
     parts: list[str] = []
     blank = True
 
@@ -89,8 +94,8 @@ def read_page(page: str, tree: bool = False, raw: bool = False) -> tuple[list[tu
         nonlocal parts, blank
         if parts:
             if not blank and (text := " ".join(html.unescape("".join(parts)).split())):
-                _, path, bad, main, node = stack[-1]
-                slots.append((path, bad, main, text))
+                _, path, bad, main, inner, node = stack[-1]
+                slots.append((path, bad, main, text, inner))
                 if raw:
                     node[1].append(len(slots) - 1)
                 elif tree and (not node[1] or node[1][-1] != "#"):
@@ -100,9 +105,9 @@ def read_page(page: str, tree: bool = False, raw: bool = False) -> tuple[list[tu
     def close() -> None:
         *_, node = stack.pop()
         if raw and len(stack) < MOST_DEPTH:
-            stack[-1][4][1].append(node)
+            stack[-1][-1][1].append(node)
         elif tree and len(stack) < MOST_DEPTH:
-            _append(stack[-1][4], node)
+            _append(stack[-1][-1], node)
 
     if m := _CUT.search(page, max(0, page.rfind("<"))):
         page = page[: m.start()]
@@ -147,10 +152,12 @@ def read_page(page: str, tree: bool = False, raw: bool = False) -> tuple[list[tu
         if name in VOID:
             continue
         label, bad, main = _marks(name, attrs)
-        _, path, was_bad, was_main, _ = stack[-1]
+        _, path, was_bad, was_main, was_inner, _ = stack[-1]
         if name == "header" and not was_main:
-            bad = True
-        stack.append((name, f"{path}/{label}", was_bad or bad, (was_main or main) and not bad, [label, [], False, False]))
+            bad = BY_TAG
+        # a main container starts afresh: what surrounds it marks it only in ``bad``
+        inner = max(was_inner, bad) if was_main else bad
+        stack.append((name, f"{path}/{label}", max(was_bad, bad), was_main or (main and not bad), inner, [label, [], False, False]))
     rest = page[at:]
     parts.append(rest)
     blank = blank and (not rest or rest.isspace())
@@ -304,11 +311,14 @@ def content(page: str, main_known: bool, template: dict[int, set[int]], wrapper:
     slots, root = read_page(page, raw=True)
     places = wrapper.places(root, len(slots)) if wrapper else [-1] * len(slots)
     fixed = [_checksum(s[3]) in template.get(at, ()) for s, at in zip(slots, places, strict=True)]
-    if main_known and (inside := [i for i, (_, bad, main, _) in enumerate(slots) if main and not bad]):
+    if main_known and (inside := [i for i, (_, bad, main, _, _) in enumerate(slots) if main and not bad]):
         # inside the container a repeated group is content
         kept = [i for i in inside if not fixed[i] or wrapper.repeated[places[i]]]
         return "\n".join(slots[i][3] for i in kept or inside)
-    rest = [i for i, (_, bad, _, _) in enumerate(slots) if not bad]
+    # no container, or only one inside marked elements: the marks around it do not count
+    rest = [i for i, (_, bad, main, _, inner) in enumerate(slots) if not bad or (main and not inner)]
+    # nothing but marked elements: words are in doubt, and what varies is content
+    rest = rest or [i for i, (_, bad, _, _, _) in enumerate(slots) if bad == BY_WORD and not fixed[i]]
     return "\n".join(slots[i][3] for i in [i for i in rest if not fixed[i]] or rest)
 
 
@@ -338,9 +348,9 @@ def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 wrappers[h] = Wrapper(json.loads(batch.column("structure")[i].as_py() or "[]"))
             slots, root = read_page(page or "", raw=True)
             texts: dict[int, set[int]] = {}
-            for (_, bad, _, text), at in zip(slots, wrappers[h].places(root, len(slots)), strict=True):
-                if at >= 0 and not bad:
-                    texts.setdefault(at, set()).add(_checksum(text))
+            for slot, at in zip(slots, wrappers[h].places(root, len(slots)), strict=True):
+                if at >= 0:
+                    texts.setdefault(at, set()).add(_checksum(slot[3]))
             v = _checksum(page or "")
             for at, found in texts.items():
                 if (x := held.get((h, at))) is None:

@@ -523,6 +523,18 @@ def test_wrapper_slots_tell_menus_from_content(spark):
     assert all(got[20 + i] == "One\nTwo" for i in range(4))
 
 
+def test_class_words_do_not_drop_articles(spark):
+    body = "<article><h1>Head {0}</h1><p>Text {0}</p></article>"
+    around = ["<div class='page no-sidebar'>{}</div>", "<div class='menu-open'>{}</div>", "<div class='menu'>{}</div>", "<form class='search'>{}</form>", "<div class='sidebar'><section>{}</section></div><div class='ad'>buy</div>", "{}<div class='related'><article>Another story</article></div>"]
+    rows = [(i, f"http://h{i}.org/x", page(a.format(body.format(i)))) for i, a in enumerate(around)]
+    rows.append((10, "http://k.org/x", page("").replace("<body>", f"<body class='has-sidebar menu'>{body.format(10)}")))
+    rows.append((11, "http://l.org/x", page("<article class='post comments-open'><div class='article-header'><h1>Head 11</h1></div><p>Text 11</p><div class='comments'>nice</div></article>")))
+    # all of the page in one marked element: the slots that vary are content
+    rows += [(20 + i, "http://m.org/x", page(f"<div class='widget'><b>Site</b><div>Head {20 + i}</div><p>Text {20 + i}</p></div>")) for i in range(4)]
+    for r in html.main_text(pages_of(spark, rows)).collect():
+        assert r["text"] == "Head {0}\nText {0}".format(r["page_id"])
+
+
 def test_alignment_is_a_generalisation():
     a = json.loads('[["ul",[["li",["#"],true,false]],false,false],"#"]')
     b = json.loads('[["ul",[["li",["#"],false,false]],false,false],["p",["#"],false,false],"#"]')
