@@ -100,8 +100,10 @@ def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Passages that stand in several documents: doc_id, start, stop (bytes of the UTF-8 text), n_words, first_doc, kept.
 
-    first_doc is the smallest doc_id that holds the passage's first repeated chunk, and kept says whether it is
-    this document, so that a filter on it leaves one copy. Repeats inside one document alone are not reported.
+    first_doc is the smallest doc_id that holds the passage's chunks, and kept says whether it is this document, so
+    that a filter on it leaves one copy of each chunk. A run of repeated chunks of ``least_words`` or more is
+    reported in parts where first_doc changes; n_words counts the part. Repeats inside one document alone are not
+    reported.
     Rows without a doc_id, and null and empty texts, have no passages; repeated rows count as one document and
     give their passages once.
     """
@@ -109,13 +111,17 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     c = written(rows.mapInArrow(_chunker, "doc_id long, k long, seq int, digest long, words int, start int, size int"), "chunks")
     seen = c.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc <> last_doc").select("digest", "first_doc")
     twice = c.join(seen, "digest").select("doc_id", "k", "seq", "words", "start", "size", "first_doc").repartition("doc_id", "k").dropDuplicates(["doc_id", "k", "seq"])
-    # consecutive chunks of one document share seq - rank
-    run = F.col("seq") - F.row_number().over(Window.partitionBy("doc_id", "k").orderBy("seq"))
+    # consecutive chunks of one document share seq - rank; a part of a run ends where first_doc changes
+    order = Window.partitionBy("doc_id", "k").orderBy("seq")
+    whole = Window.partitionBy("doc_id", "k", "run")
+    turn = F.coalesce(F.lag("first_doc").over(order) != F.col("first_doc"), F.lit(True)).cast("int")
     out = (
-        twice.withColumn("run", run)
-        .groupBy("doc_id", "k", "run")
-        .agg(F.min("start").cast("long").alias("start"), F.max(F.col("start") + F.col("size")).cast("long").alias("stop"), F.sum("words").alias("n_words"), F.min_by("first_doc", "seq").alias("first_doc"))
-        .filter(F.col("n_words") >= least_words)
+        twice.withColumns({"run": F.col("seq") - F.row_number().over(order), "turn": turn})
+        .withColumn("part", F.sum("turn").over(order))
+        .groupBy("doc_id", "k", "run", "part")
+        .agg(F.min("start").cast("long").alias("start"), F.max(F.col("start") + F.col("size")).cast("long").alias("stop"), F.sum("words").alias("n_words"), F.first("first_doc").alias("first_doc"))
+        .withColumn("all_words", F.sum("n_words").over(whole))
+        .filter(F.col("all_words") >= least_words)
     )
     return out.select("doc_id", "start", "stop", "n_words", "first_doc", (F.col("doc_id") == F.col("first_doc")).alias("kept"))
 

@@ -184,6 +184,24 @@ def test_repeated_passages_are_caught(spark):
         assert r["kept"] == (r["doc_id"] == 0)
 
 
+def test_each_chunk_keeps_one_copy(spark):
+    rng = random.Random(8)
+    other = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    licence, body, tail = other(40), other(80), other(60)
+    # 5 and 7 are copies that open with the licence of 1; 6 and 8 open with a passage of their own and end with one of 2
+    docs = {1: f"{licence}\n{other(30)}", 2: f"{other(20)}\n{tail}", 5: f"{licence}\n{body}", 7: f"{licence}\n{body}"}
+    own = other(70)
+    docs |= {6: f"{own}\n{tail}", 8: f"{own}\n{tail}"}
+    left = {i: t.encode() for i, t in docs.items()}
+    for r in sorted(chunks.repeated_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect(), key=lambda r: -r["start"]):
+        if not r["kept"]:
+            left[r["doc_id"]] = left[r["doc_id"]][: r["start"]] + b"|" + left[r["doc_id"]][r["stop"] :]
+    for passage, holder in ((licence, 1), (body, 5), (own, 6), (tail, 2)):
+        middle = passage[80:-80].encode()
+        assert [i for i, t in left.items() if middle in t] == [holder]
+        assert not any(middle[20:60] in t for i, t in left.items() if i != holder)
+
+
 def test_chunks_resist_insertions():
     import pyarrow as pa
 
