@@ -11,12 +11,15 @@ alphabet, go along with each shard). Each document sums the log-probabilities of
 shard; the sums over the shards give its perplexity. One shard or a thousand, the result is the same.
 
 A document is rejected if its perplexity is above its language's threshold: a quantile over the held-out trusted
-documents of that language.
+documents of that language. A language with few of them holds out each fifth of its trusted documents in turn,
+under models of the other four; its threshold is the mean of their log-perplexities and the quantile of the distance
+from the mean, pooled over all languages. Only a language without trusted documents has no threshold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,10 @@ ORDER = 5
 SHARD_ROWS = 3_000_000
 #: Share of held-out trusted documents that the threshold of a language lets through.
 QUANTILE = 0.99
-#: Held-out trusted documents without which a language has no threshold of its own and keeps everything.
+#: Held-out trusted documents without which a language is cross-validated and shares the spread of all languages.
 LEAST_HELD_OUT = 20
+#: Parts of the trusted documents; the first is held out of the models that score documents.
+FOLDS = 5
 #: Byte that stands before a document's first; the others of a context there are 0.
 PAD = ORDER - 1
 
@@ -255,20 +260,47 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> D
     """Per row of ``docs`` (doc_id, text, lang): doc_id, k (row_key of doc_id and text), lang (as modelled), n_symbols, perplexity, threshold, keep.
 
     Trusted are the documents that all their labels call quality 1; a fifth of them, by crc32 of doc_id, is held
-    out of the training and sets the thresholds. A text without symbols (null or empty) has no perplexity and is
-    kept, as is every document of a language with fewer than ``LEAST_HELD_OUT`` held-out documents. Repeated rows
-    are scored one by one.
+    out of the training and sets the thresholds; languages with fewer than ``LEAST_HELD_OUT`` such documents hold out
+    each fifth in turn. A text without symbols (null or empty) has no perplexity and is kept, as is every document
+    of a language without trusted documents. Repeated rows are scored one by one.
     """
     d = docs.select("doc_id", language().alias("lang"), "text", row_key("doc_id", "text").alias("k"))
-    trusted = written(labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out")), "trusted")
-    train = d.join(small(trusted.filter("NOT held_out")), "doc_id", "left_semi")
-    counts = train.select("lang", "text").mapInArrow(_counter, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
-    model = model_tables(written(counts, f"order{ORDER}"))
-    scored = written(perplexities(d, model).withColumn("perplexity", F.when(F.col("c") > 0, F.exp(-F.col("s") / F.col("c")))), "scored")
-    # rounded, so that the exact quantile keeps a bounded number of values
-    limit = scored.filter("perplexity IS NOT NULL").join(trusted.filter("held_out"), "doc_id", "left_semi").groupBy("lang").agg(F.expr(f"percentile(round(perplexity, 3), {quantile!r}D)").alias("threshold"), F.count("*").alias("n")).filter(f"n >= {LEAST_HELD_OUT}").drop("n")
+    fold = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS).cast("int")
+    trusted = written(labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id", fold.alias("fold")), "trusted")
+    known = d.filter("text <> ''").join(small(trusted), "doc_id")
+    # 677 languages at most
+    few = [r["lang"] for r in known.groupBy("lang").agg(F.sum((F.col("fold") == 0).cast("int")).alias("n")).filter(f"n < {LEAST_HELD_OUT}").collect()]
+    in_turn = known.filter(F.col("lang").isin(few)).select("doc_id", "lang", "k", "text", "fold")
+    # the models of a fold go under the names of their own: language#fold
+    others = in_turn.withColumn("f", F.explode(F.array(*map(F.lit, range(1, FOLDS))))).filter("fold <> f").select(F.concat("lang", F.lit("#"), "f").alias("lang"), "text")
+    train = d.join(small(trusted.filter("fold <> 0")), "doc_id", "left_semi").select("lang", "text").unionByName(others)
+    counts = written(train.mapInArrow(_counter, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c")), f"order{ORDER}")
+    model = model_tables(counts)
+    folded = F.col("lang").contains("#")
+    scored = written(perplexities(d, model.filter(~folded)).withColumn("perplexity", F.when(F.col("c") > 0, F.exp(-F.col("s") / F.col("c")))), "scored")
+    held = scored.filter("perplexity IS NOT NULL").join(trusted.filter("fold = 0"), "doc_id", "left_semi").select("lang", F.col("lang").alias("model"), "perplexity")
+    if few:
+        turns = in_turn.filter("fold <> 0").withColumn("lang", F.concat("lang", F.lit("#"), "fold"))
+        found = perplexities(turns, model.filter(folded)).filter("c > 0")
+        held = held.unionByName(found.select(F.substring_index("lang", "#", 1).alias("lang"), F.col("lang").alias("model"), F.exp(-F.col("s") / F.col("c")).alias("perplexity")))
+    # perplexities under a model without text say nothing
+    held = written(held.join(F.broadcast(counts.select(F.col("lang").alias("model")).distinct()), "model", "left_semi"), "held")
+    limit = scored.sparkSession.createDataFrame(_thresholds(held, few, quantile), "lang string, threshold double")
     return scored.join(F.broadcast(limit), "lang", "left").select("doc_id", "k", "lang", F.col("c").alias("n_symbols"), "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
 
 
+def _thresholds(held: DataFrame, few: list[str], quantile: float) -> list[tuple[str, float | None]]:
+    """(language, threshold) from the perplexities of held-out documents, ``held`` (lang, perplexity); None where no two can be compared."""
+    # rounded, so that the exact quantiles keep a bounded number of values
+    own = held.groupBy("lang").agg(F.expr(f"percentile(round(perplexity, 3), {quantile!r}D)").alias("own"), F.avg(F.log("perplexity")).alias("mean"), F.count("*").alias("n"))
+    # distances from a mean of n documents are too small by sqrt(1 - 1/n), those of new documents larger by sqrt(1 + 1/n)
+    away = held.join(F.broadcast(own), "lang").filter("n > 1").select("lang", F.expr("round((ln(perplexity) - mean) / sqrt(1 - 1D / n), 4)").alias("r"))
+    far, n, langs = away.agg(F.expr(f"percentile(r, {quantile!r}D)"), F.count("*"), F.countDistinct("lang")).first() if few else (None, 0, 0)
+    # a quantile of a few distances is too small, as a normal one is against Student's (its expansion)
+    z, free = NormalDist().inv_cdf(quantile), max(1, n - langs)
+    far = None if far is None else max(far, 0.0) * (1 + (z**2 + 1) / (4 * free) + (5 * z**4 + 16 * z**2 + 3) / (96 * free**2))
+    return [(r["lang"], (None if far is None else float(np.exp(r["mean"] + far * np.sqrt(1 + 1 / r["n"])))) if r["lang"] in few else r["own"]) for r in own.collect()]
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("k")

@@ -158,6 +158,22 @@ def test_quality_rejects_junk(spark):
     assert sum(out[i] for i, _, _ in good) >= 0.97 * len(good)
 
 
+def test_quality_judges_small_languages(spark):
+    """Three languages with 15 to 40 trusted documents each: none has 20 held-out ones, all reject junk."""
+    rng = random.Random(6)
+    docs, labels = [], []
+    for n, (lang, trusted) in enumerate((("en", 40), ("de", 25), ("fr", 15))):
+        docs += [(1000 * n + i, sentence(rng, 60) + ".", lang) for i in range(100)]
+        docs += [(1000 * n + 500 + i, " ".join(w.upper() + "!!%%" for w in sentence(rng, 60).split()), lang) for i in range(10)]
+        labels += [(1000 * n + i, 1, 0) for i in range(trusted)]
+    docs.append((9000, "no trusted text in this language", "pl"))
+    out = quality.quality(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert not any(r["keep"] for r in out if r["doc_id"] % 1000 >= 500)
+    for lang in ("en", "de", "fr"):
+        assert sum(r["keep"] for r in out if r["lang"] == lang and r["doc_id"] % 1000 < 500) >= 95
+    assert [r["keep"] for r in out if r["lang"] == "pl"] == [True]
+
+
 def test_quality_odd(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(4, 1, 0), (9, 1, None), (None, 1, 1), (8, None, 0), (8, 0, 1)], "doc_id long, quality int, toxic int")
     assert quality.quality(odd_docs, labels).filter("keep").count() == odd_docs.count()
