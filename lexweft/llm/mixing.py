@@ -161,7 +161,8 @@ def _rate(steps: list[np.ndarray]) -> Column:
 def fit_rates(members: DataFrame, names: list[str], weights: dict[str, float], total: float | None = None) -> list[np.ndarray]:
     """Steps whose fold gives the rates of ``members`` (n_tokens, posterior).
 
-    ``total`` is the sum of the targets in tokens; by default the largest one that no domain must be repeated for.
+    ``total`` is the sum of the targets in tokens. By default the domain of the largest weight sets it and stays whole;
+    domains that have less than their share of it fall short with what there is of them, instead of cutting the rest.
     """
     d = len(names)
     term = lambda i: F.col("n_tokens") * F.col("posterior")[i]
@@ -176,8 +177,11 @@ def fit_rates(members: DataFrame, names: list[str], weights: dict[str, float], t
     if not have.sum():
         return []
     if total is None:
-        total = min(h / s for h, s in zip(have, share, strict=True) if s > 0)
-    target = share * total
+        leading = max((i for i in range(d) if have[i] > 0), key=lambda i: (share[i], have[i]))
+        total = have[leading] / share[leading] if share[leading] > 0 else 0.0
+        target = np.minimum(share * total, have)
+    else:
+        target = share * total
     inverse = np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(d))
     steps: list[np.ndarray] = []
     now = have

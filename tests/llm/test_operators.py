@@ -495,6 +495,16 @@ def test_rates_meet_targets(spark):
     assert (rate >= 0).all() and np.allclose(got / got.sum(), [0.7, 0.2, 0.1], atol=1e-4)
 
 
+def test_scarce_domains_do_not_cut_the_rest(spark):
+    """Almost no junk is left: clean documents stay, a plentiful domain is cut to its share, the scarce one falls short."""
+    rows = [(100, [0.999, 0.0005, 0.0005])] * 300 + [(100, [0.01, 0.98, 0.01])] * 40 + [(100, [0.05, 0.05, 0.9])]
+    m = spark.createDataFrame(rows, "n_tokens long, posterior array<double>").cache()
+    steps = mixing.fit_rates(m, ["clean", "toxic", "low_toxic"], {"clean": 0.96, "toxic": 0.02, "low_toxic": 0.02})
+    rate = np.array([r["x"] for r in m.select(mixing._rate(steps).alias("x")).collect()])
+    assert (rate[:300] > 0.97).all() and (rate[:300] < 1.03).all()
+    assert rate[300:340].mean() < 0.3 and 0.5 < rate[340] < 1.5
+
+
 def test_mix(spark, odd_docs, no_docs):
     docs, labels, _ = toxic_corpus(random.Random(2), 500)
     d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
