@@ -183,9 +183,10 @@ def _exploder(k: int):
 def prefix_groups(rows: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, n, key): each document of ``rows`` (doc_id, n, text) under its rarest shingles, by frequency in ``rows``.
 
-    Two sets whose similarity is ``percent`` or more share a key. Keys of one document only are left out.
+    Two sets whose similarity is ``percent`` or more share a key. Keys of one document only are left out. A document
+    in several rows counts once.
     """
-    tokens = written(rows.select("doc_id", "n", "text").mapInArrow(_exploder(k), "node long, n long, token long"), "tokens")
+    tokens = written(rows.select("doc_id", "n", "text").mapInArrow(_exploder(k), "node long, n long, token long").distinct(), "tokens")
     df = tokens.groupBy("token").agg(F.count("*").alias("df"))
     w = Window.partitionBy("node").orderBy("df", "token")
     ranked = tokens.join(df, "token").withColumn("r", F.row_number().over(w))

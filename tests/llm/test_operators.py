@@ -293,6 +293,18 @@ def test_many_weak_members_of_one_family(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_groups(docs, 4, 80)
 
 
+def test_prefixes_rank_shingles_once_for_repeated_rows(spark):
+    """Sets that share 90 of 100 shingles share a key, also if each document stands in three rows."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(90)]
+    rows = [(i, 100, " ".join(base + [word() for _ in range(10)])) for i in range(2)]
+    found = neardup.prefix_groups(spark.createDataFrame(rows * 3, "doc_id long, n long, text string"), 1, 80).collect()
+    once = neardup.prefix_groups(spark.createDataFrame(rows, "doc_id long, n long, text string"), 1, 80).collect()
+    assert sorted(found) == sorted(once) and len(set(found)) == len(found)
+    assert {r["key"] for r in found if r["node"] == 0} & {r["key"] for r in found if r["node"] == 1}
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(1)
     errors = []
