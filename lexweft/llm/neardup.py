@@ -12,16 +12,17 @@ Signatures are cut into BANDS bands of ROWS values. Classes that share a band me
 expanded into all its pairs: each member is compared with two members drawn by a hash, so that every class meets
 others at random in each of its buckets, and classes that end up in one component are settled. Members of buckets
 that still hold several components meet once more by their rarest shingles: similar sets must share one of the
-first n - ceil(0.8 n) + 1 in an order by document frequency, so these groups miss nothing, and common passages drop
-out of them. There, what is outside the group's largest component is compared with the other components. Before
-texts are fetched, pairs must pass a bound: each set has a bitmap of the parities of its hashed elements, and the bits
-in which two bitmaps differ are at most the elements in which the sets differ. The bound never rejects a link. At
+first in an order by document frequency, at places that leave room for the overlap (``prefix_meetings``), so these
+groups miss nothing, and common passages drop out of them. Before texts are fetched, pairs must pass a bound: each
+set has a bitmap of the parities of its hashed elements, and the bits in which two bitmaps differ are at most the
+elements in which the sets differ. The bound never rejects a link. At
 similarity 0.8 a pair shares none of the 32 bands with probability (1 - 0.8**4)**32, about 5e-8.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -180,21 +181,57 @@ def _exploder(k: int):
     return explode
 
 
+def _need(n: Column, m: Column, percent: int) -> Column:
+    """Least number of shared elements with which sets of n and m elements reach the similarity."""
+    return F.ceil((percent * (n + m)) / F.lit(100 + percent))
+
+
+def _size_class(n: Column) -> Column:
+    """Sets whose sizes differ by two in a hundred at most share a class, or stand in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / math.log(1.02)).cast("int")
+
+
 def prefix_groups(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, n, key): each document of ``rows`` (doc_id, n, text) under its rarest shingles, by frequency in ``rows``.
+    """(node, n, key, p): each document of ``rows`` (doc_id, n, text) under its rarest shingles, by frequency in ``rows``.
 
-    Two sets whose similarity is ``percent`` or more share a key. Keys of one document only are left out. A document
-    in several rows counts once.
+    p is the shingle's place in that order, from 1. Two sets whose similarity is ``percent`` or more share a key.
+    Keys of one document only are left out. A document in several rows counts once.
     """
     tokens = written(rows.select("doc_id", "n", "text").mapInArrow(_exploder(k), "node long, n long, token long").distinct(), "tokens")
-    df = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    # shingles of one document need no row here, and a table apart lets the join split hot shingles
+    shared = written(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
     w = Window.partitionBy("node").orderBy("df", "token")
-    ranked = tokens.join(df, "token").withColumn("r", F.row_number().over(w))
-    out = written(ranked.filter(f"r <= n - ceil({percent} * n / 100D) + 1 AND df > 1").select("node", "n", F.col("token").alias("key")), "groups")
+    ranked = tokens.join(small(shared), "token", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("p", F.row_number().over(w))
+    out = written(ranked.filter((F.col("df") > 1) & (F.col("p") <= F.col("n") - F.ceil(percent * F.col("n") / F.lit(100)) + 1)).select("node", "n", F.col("token").alias("key"), "p"), "groups")
     discard(tokens)
     return out
 
 
+def prefix_meetings(groups: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b), a < b, of different components that may be similar, from ``groups`` (node, n, key, p, c).
+
+    Of a pair, the smaller set x (n elements) and the larger y (m) must share an element whose places leave room for
+    the shared elements that the similarity needs: n - p + 1 and m - q + 1 are at least need(n, m). So x is filed
+    under its first n - need(n, n) + 1 keys, by the class of its size, and y looks in each class that its place q
+    still allows. In a family of documents that share a template and differ in more than the similarity allows, the
+    first places are their own shingles, and they do not meet. Within a key, only what is outside the component
+    with most seats is compared with the others.
+    """
+    n, p = F.col("n"), F.col("p")
+    filed = groups.filter(p <= n - _need(n, n, percent) + 1).withColumn("cls", _size_class(n)).withColumn("looks", F.lit(False))
+    low = F.ceil(percent * n / F.lit(100))
+    high = F.least(n, F.floor((100 + percent) * (n - p + 1) / F.lit(percent)) - n)
+    looks = groups.filter(high >= low).withColumn("cls", F.explode(F.sequence(_size_class(low), _size_class(high)))).withColumn("looks", F.lit(True))
+    seats = written(looks.join(small(written(filed.select("key", "cls").distinct(), "shelves")), ["key", "cls"], "left_semi").unionByName(filed), "seats")
+    taken = seats.groupBy("key", "cls", "c").agg(F.count("*").alias("s"))
+    busy = written(taken.groupBy("key", "cls").agg(F.max_by("c", F.struct("s", "c")).alias("main"), F.count("*").alias("k")).filter("k > 1").drop("k"), "busy")
+    minor = seats.join(small(busy), ["key", "cls"]).filter("c <> main")
+    minor = written(minor.select("key", "cls", *[F.col(x).alias(f"{x}2") for x in ("node", "n", "p", "c", "looks")]), "minor")
+    room = (F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")) + 1 >= _need(F.col("n"), F.col("n2"), percent)) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    met = seats.join(small(minor), ["key", "cls"]).filter((F.col("looks") != F.col("looks2")) & (F.col("c") != F.col("c2")) & room)
+    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -208,28 +245,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
     buckets = written(classes.select("node", "n", F.explode("bands").alias("key")), "buckets")
     texts = docs.select("doc_id", "text")
-    drawn = F.struct(F.xxhash64("key", "node").alias("h"), "node", "n")
-    low = buckets.groupBy("key").agg(F.min(drawn).alias("p"), F.max(drawn).alias("q"), F.count("*").alias("c")).filter("c > 1")
-    met = buckets.join(low, "key").select("node", "n", F.explode(F.array("p", "q")).alias("x")).select("node", "n", F.col("x.node").alias("other"), F.col("x.n").alias("m"))
-    pairs = _ordered(met, percent)
-    for c in "ab":
-        pairs = pairs.join(classes.select(F.col("node").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}")), c)
-    pairs = pairs.filter(_may_link("bits_a", "bits_b", F.col("n_a") + F.col("n_b"), percent)).select("a", "b")
-    links = _verified(pairs, texts, k, percent)
+    # Two members of each bucket, drawn by a hash; the table apart lets the join split hot buckets.
+    h = F.xxhash64("key", "node")
+    low = buckets.groupBy("key").agg(F.min_by("node", h).alias("p"), F.min_by("n", h).alias("pn"), F.max_by("node", h).alias("q"), F.max_by("n", h).alias("qn"), F.count("*").alias("c"))
+    low = written(low.filter("c > 1").drop("c"), "drawn")
+    met = buckets.join(small(low), "key").select("node", "n", F.inline(F.array(F.struct(F.col("p").alias("other"), F.col("pn").alias("m")), F.struct(F.col("q").alias("other"), F.col("qn").alias("m")))))
+    links = _verified(_bounded(_ordered(met, percent), classes, percent), texts, k, percent)
     label = small(written(components(links), "label"))
     known = buckets.join(label, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo <> hi AND size > 2").select("key")
-    open_ = written(known.join(mixed, "key").select(F.col("node").alias("doc_id"), "n").distinct(), "open")
+    mixed = written(known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo <> hi AND size > 2").select("key"), "mixed")
+    open_ = written(known.join(small(mixed), "key", "left_semi").select(F.col("node").alias("doc_id"), "n").distinct(), "open")
     if not open_.isEmpty():
-        groups = prefix_groups(texts.join(small(open_), "doc_id"), k, percent).join(label, "node", "left").withColumn("c", F.coalesce("component", "node"))
-        groups = written(groups.select("key", "node", "n", "c").join(classes.select("node", "bits"), "node").distinct(), "members")
-        sizes = groups.groupBy("key", "c").agg(F.count("*").alias("s"))
-        main = sizes.groupBy("key").agg(F.max_by("c", F.struct("s", "c")).alias("main"), F.count("*").alias("k")).filter("k > 1")
-        minor = groups.join(main, "key").filter("c <> main").select(F.col("key").alias("key2"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("c").alias("c2"), F.col("bits").alias("bits2"))
-        fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & _may_link("bits", "bits2", F.col("n") + F.col("m"), percent)
-        met = groups.join(minor, (F.col("key") == F.col("key2")) & (F.col("c") != F.col("c2")) & fits).select("node", "n", "other", "m")
-        pairs = _ordered(met, percent)
-        links = links.union(_verified(pairs, texts, k, percent))
+        groups = prefix_groups(texts.join(small(open_), "doc_id"), k, percent).join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).select("node", "n", "key", "p", "c")
+        pairs = prefix_meetings(written(groups, "members"), percent)
+        links = links.union(_verified(_bounded(pairs, classes, percent), texts, k, percent))
         label = small(written(components(links), "label"))
     member = classes.join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     linked = usable.select("doc_id", "n_shingles", "digest").join(member, "digest").select("doc_id", "n_shingles", "component_id")
@@ -250,6 +279,13 @@ def _ordered(met: DataFrame, percent: int) -> DataFrame:
     return fits.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) whose bitmaps in ``classes`` leave room for the similarity."""
+    for c in "ab":
+        pairs = pairs.join(classes.select(F.col("node").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}")), c)
+    return pairs.filter(_may_link("bits_a", "bits_b", F.col("n_a") + F.col("n_b"), percent)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) among ``pairs``, confirmed on the full sets of both texts."""
     pairs = written(pairs, "pairs")

@@ -293,6 +293,44 @@ def test_many_weak_members_of_one_family(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_groups(docs, 4, 80)
 
 
+def family(n, seed=13):
+    """Documents on one template: clusters of three by their own words, and within a cluster a few words of each."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(100)]
+    docs = []
+    for c in range(n // 3):
+        own = dict((i, word()) for i in rng.sample(range(100), 6))
+        for j in range(3):
+            w = [own.get(i, x) for i, x in enumerate(base)]
+            w[rng.randrange(100)] = f"q{c}.{j}"
+            docs.append((c * 3 + j, " ".join(w)))
+    return docs
+
+
+def test_family_of_many_small_components(spark):
+    docs = family(240)
+    out = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 80).collect()
+    want = brute_groups(docs, 3, 80)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
+    assert len({c for _, c in want.values()}) > 60
+
+
+def test_meetings_grow_with_the_family_and_miss_nothing(spark):
+    """Every similar pair of different components meets; five times the family makes no more than about five times the meetings."""
+    counts = []
+    for n in (120, 600):
+        docs = family(n)
+        sets = {i: (lambda w: {tuple(w[j : j + 3]) for j in range(len(w) - 2)})(t.split()) for i, t in docs}
+        rows = spark.createDataFrame([(i, len(sets[i]), t) for i, t in docs], "doc_id long, n long, text string")
+        groups = neardup.prefix_groups(rows, 3, 80).withColumn("c", F.col("node"))
+        met = {(r["a"], r["b"]) for r in neardup.prefix_meetings(groups, 80).collect()}
+        linked = {(a, b) for a in sets for b in sets if a < b and a // 3 == b // 3 and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+        assert linked <= met
+        counts.append(len(met))
+    assert counts[1] <= 8 * counts[0] + 200
+
+
 def test_prefixes_rank_shingles_once_for_repeated_rows(spark):
     """Sets that share 90 of 100 shingles share a key, also if each document stands in three rows."""
     rng = random.Random(12)
@@ -301,7 +339,7 @@ def test_prefixes_rank_shingles_once_for_repeated_rows(spark):
     rows = [(i, 100, " ".join(base + [word() for _ in range(10)])) for i in range(2)]
     found = neardup.prefix_groups(spark.createDataFrame(rows * 3, "doc_id long, n long, text string"), 1, 80).collect()
     once = neardup.prefix_groups(spark.createDataFrame(rows, "doc_id long, n long, text string"), 1, 80).collect()
-    assert sorted(found) == sorted(once) and len(set(found)) == len(found)
+    assert sorted(found) == sorted(once) and len(set(found)) == len(found) and min(r["p"] for r in found) == 11
     assert {r["key"] for r in found if r["node"] == 0} & {r["key"] for r in found if r["node"] == 1}
 
 

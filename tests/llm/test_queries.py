@@ -52,7 +52,7 @@ def test_clean_documents_survive_mixing(spark, small):
     small = small.replace("sf0.001", "sf0.01")  # with documents of every domain left
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for _, stage in p.STAGES[:3]:
-        docs = stage(spark, docs, small).localCheckpoint()
+        docs = stage(spark, docs, small).checkpoint()
     clean = {r["doc_id"] for r in spark.read.parquet(f"{small}/labels.parquet").filter("quality = 1 AND toxic = 0").collect()}
     before, after = ({r["doc_id"] for r in x.select("doc_id").collect()} & clean for x in (docs, p.mix_to_targets(spark, docs, small)))
     assert len(after) >= 0.95 * len(before) > 0
