@@ -4,9 +4,11 @@ A gear hash rolls over the bytes of a text: shift left by one and add a random n
 chunk where the top bits of the hash are zero and no other such byte lies within ``MIN_BYTES`` before it; runs
 without one are cut every ``MAX_BYTES``. Cuts depend on the last ``WINDOW`` bytes only, so an insertion shifts
 chunks but leaves those behind it alike. Chunks are compared by a 64-bit digest, with A-Z lower-cased and white
-space runs as one space; a digest is repeated if several documents have it. A run of repeated chunks of
-``LEAST_WORDS`` words or more is a repeated passage; its chunks at both ends are cut within the passage, so the
-limit lies below the length of the passages that are sought.
+space runs as one space; a digest is repeated if it stands in several documents, or at several places of one. A run of
+repeated chunks is a repeated passage. ``least_words`` says how long the passages are that are sought: shorter runs are
+chance or set phrases; 0 returns them all. The chunks at both ends are cut within the passage, so the limit of the
+registered query lies below the 50 words that it is meant for. A false match of two 64-bit digests adds a chunk to a
+run at most, since a passage needs several in a row.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, LOWER, U64, Words, mix64, row_chunks, table, text_bytes, written
+from .common import SPACES, LOWER, U64, Words, mix64, row_chunks, small, table, text_bytes, written
 
 WINDOW = 8
 MASK_BITS = 4
 MIN_BYTES = 12
 MAX_BYTES = 64
+#: Words that a run of repeated chunks needs to count as a passage: those of 50 words less a chunk at either end.
 LEAST_WORDS = 28
 #: Gear numbers: one of 16 bits for each byte value, from a fixed rule.
 GEAR = (mix64(np.arange(256, dtype=U64) + U64(0x51ED270B)) >> U64(48)).astype(np.uint32)
@@ -83,6 +86,17 @@ def chunk_rows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return digest, row, begin[ends] - begin[starts], src[starts] if len(starts) else starts, src[ends - 1] + 1 if len(ends) else ends
 
 
+def places_in_row(row: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """For each chunk 0 if its row has the digest once, 1 at the first of several places, 2 at the later ones."""
+    out = np.zeros(len(row), np.int8)
+    if len(row):
+        order = np.lexsort((np.arange(len(row)), digest, row))
+        same = (row[order][1:] == row[order][:-1]) & (digest[order][1:] == digest[order][:-1])
+        out[order[:-1][same]] = 1
+        out[order[1:][same]] = 2
+    return out
+
+
 def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = text_bytes(batch.column("text"))
@@ -92,38 +106,42 @@ def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest, row, words, start, end = chunk_rows(data[off[a] : off[b]], base)
             seq = np.arange(len(row)) - np.searchsorted(row, row)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(row + a)), pa.array(keys[row + a]), pa.array(seq.astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(words.astype(np.int32)), pa.array((start - base[row]).astype(np.int32)), pa.array((end - start).astype(np.int32))],
-                names=["doc_id", "k", "seq", "digest", "words", "start", "size"],
+                [ids.take(pa.array(row + a)), pa.array(keys[row + a]), pa.array(seq.astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(words.astype(np.int32)), pa.array((start - base[row]).astype(np.int32)), pa.array((end - start).astype(np.int32)), pa.array(places_in_row(row, digest))],
+                names=["doc_id", "k", "seq", "digest", "words", "start", "size", "place"],
             )
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Passages that stand in several documents: doc_id, start, stop (bytes of the UTF-8 text), n_words, first_doc, kept.
+    """Passages that repeat: doc_id, start, stop (bytes of the UTF-8 text), n_words, run_words, first_doc, kept.
 
-    first_doc is the smallest doc_id that holds the passage's chunks, and kept says whether it is this document, so
-    that a filter on it leaves one copy of each chunk. A run of repeated chunks of ``least_words`` or more is
-    reported in parts where first_doc changes; n_words counts the part. Repeats inside one document alone are not
-    reported.
+    first_doc is the smallest doc_id that holds the passage's chunks. kept says whether this is the first place in that
+    document, so that a filter on it leaves one copy of each chunk, whether it repeats in other documents or in
+    the same. A run of repeated chunks with ``least_words`` or more (run_words) is reported in parts where first_doc or
+    kept changes; n_words counts the part.
     Rows without a doc_id, and null and empty texts, have no passages; repeated rows count as one document and
-    give their passages once.
+    give their passages once. Rows that share a doc_id but not the text are texts of one document: what only they
+    share is no repeat, and kept holds for each of them.
     """
     rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("k"))
-    c = written(rows.mapInArrow(_chunker, "doc_id long, k long, seq int, digest long, words int, start int, size int"), "chunks")
-    seen = c.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc <> last_doc").select("digest", "first_doc")
-    twice = c.join(seen, "digest").select("doc_id", "k", "seq", "words", "start", "size", "first_doc").repartition("doc_id", "k").dropDuplicates(["doc_id", "k", "seq"])
-    # consecutive chunks of one document share seq - rank; a part of a run ends where first_doc changes
+    c = written(rows.mapInArrow(_chunker, "doc_id long, k long, seq int, digest long, words int, start int, size int, place tinyint"), "chunks")
+    seen = c.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.max("place").alias("inner")).filter("first_doc <> last_doc OR inner > 0").select("digest", "first_doc")
+    # a table apart: it is sent to the tasks if it is small, and else the join can split hot digests
+    twice = c.join(small(written(seen, "seen")), "digest").select("doc_id", "k", "seq", "words", "start", "size", "first_doc", ((F.col("doc_id") == F.col("first_doc")) & (F.col("place") < 2)).alias("kept"))
+    twice = twice.repartition("doc_id", "k").dropDuplicates(["doc_id", "k", "seq"])
+    # consecutive chunks of one document share seq - rank; a part of a run ends where its owner changes
     order = Window.partitionBy("doc_id", "k").orderBy("seq")
     whole = Window.partitionBy("doc_id", "k", "run")
-    turn = F.coalesce(F.lag("first_doc").over(order) != F.col("first_doc"), F.lit(True)).cast("int")
+    owner = F.struct("first_doc", "kept")
+    turn = F.coalesce(F.lag(owner).over(order) != owner, F.lit(True)).cast("int")
     out = (
         twice.withColumns({"run": F.col("seq") - F.row_number().over(order), "turn": turn})
         .withColumn("part", F.sum("turn").over(order))
         .groupBy("doc_id", "k", "run", "part")
-        .agg(F.min("start").cast("long").alias("start"), F.max(F.col("start") + F.col("size")).cast("long").alias("stop"), F.sum("words").alias("n_words"), F.first("first_doc").alias("first_doc"))
-        .withColumn("all_words", F.sum("n_words").over(whole))
-        .filter(F.col("all_words") >= least_words)
+        .agg(F.min("start").cast("long").alias("start"), F.max(F.col("start") + F.col("size")).cast("long").alias("stop"), F.sum("words").alias("n_words"), F.first("first_doc").alias("first_doc"), F.first("kept").alias("kept"))
+        .withColumn("run_words", F.sum("n_words").over(whole))
+        .filter(F.col("run_words") >= least_words)
     )
-    return out.select("doc_id", "start", "stop", "n_words", "first_doc", (F.col("doc_id") == F.col("first_doc")).alias("kept"))
+    return out.select("doc_id", "start", "stop", "n_words", "run_words", "first_doc", "kept")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
