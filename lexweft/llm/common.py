@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -15,9 +18,14 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session whose executors are threads of the driver gets a local folder; any other is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="lexweft-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
@@ -35,21 +43,38 @@ def shared_path(spark: SparkSession, name: str) -> str:
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows that go to a Python worker at a time while a table is written: texts are long, and both sides hold a batch.
 ROWS_PER_BATCH = 2000
+_lock = threading.Lock()
+_writers: dict[int, tuple[int, str]] = {}
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Hold the session's batches at ``ROWS_PER_BATCH`` rows; the first of several threads sets it, the last one resets it."""
+    with _lock:
+        n, before = _writers.get(id(spark), (0, spark.conf.get(_ARROW_ROWS)))
+        _writers[id(spark)] = n + 1, before
+        if not n:
+            spark.conf.set(_ARROW_ROWS, str(min(int(before), ROWS_PER_BATCH) if int(before) > 0 else ROWS_PER_BATCH))
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writers.pop(id(spark))
+            if n > 1:
+                _writers[id(spark)] = n - 1, before
+            else:
+                spark.conf.set(_ARROW_ROWS, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as a Parquet table in the shared folder and read it back.
+def written(df: DataFrame, name: str, path: str | None = None, **options: str) -> DataFrame:
+    """Cut the lineage: write ``df`` as a Parquet table, in the shared folder unless ``path`` says where, and read it back.
 
     The table outlives lost executors, and every later plan that uses it sees the same rows.
     """
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    before = spark.conf.get(_ARROW_ROWS)
-    spark.conf.set(_ARROW_ROWS, str(min(int(before), ROWS_PER_BATCH)) if int(before) > 0 else str(ROWS_PER_BATCH))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_ARROW_ROWS, before)
+    path = path or shared_path(spark, name)
+    with _small_batches(spark):
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexweft_path = path
     return out

@@ -2,7 +2,8 @@
 
 Resizing averages areas exactly, fractions of pixels included, from an integral image: the sum over a box is four
 look-ups, and a fractional edge is a linear blend of them. The tile is stored as an NPY file; the difference hash
-compares horizontal neighbours of a 9 x 8 tile of luminance.
+compares horizontal neighbours of a 9 x 8 tile of luminance. Files go to a table first; a second plan reads them back,
+decodes them, and writes tiles and features.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table, text_bytes
+from .common import row_chunks, table, text_bytes, written
 
 #: Bytes that a payload is padded to a multiple of: 64 pixels of three samples, or 192 of one.
 UNIT = 192
@@ -142,48 +143,63 @@ def payload_to_media(raw: bytes) -> tuple[bytes, bytes]:
     return payload, encode_netpbm(x)
 
 
-_FIELDS = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("tile_sha256", pa.string())]
+_FIELDS = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("tile_sha256", pa.string()), ("tile", pa.binary())]
+#: Bytes of files and tiles that a task gathers before it passes them on.
+HELD_BYTES = 8 << 20
 
 
-def _maker(tile_size: int, keep: bool):
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, off = text_bytes(batch.column("text"))
+        for a, b in row_chunks(off, HELD_BYTES):
+            files = [payload_to_media(data[off[i] : off[i + 1]].tobytes())[1] for i in range(a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(off[a : b + 1])), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+
+def media_files(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media) per row of ``docs`` (doc_id, text): the text as a Netpbm or BMP file.
+
+    The text's UTF-8 bytes, padded with spaces to a positive multiple of 192, are the samples; n_bytes is their number
+    without the padding. Equal texts give equal files; null and empty texts give a row of spaces.
+    """
+    return docs.select("doc_id", "text").mapInArrow(_encoder, "doc_id long, n_bytes long, media binary")
+
+
+def _describer(tile_size: int):
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = text_bytes(batch.column("text"))
-            ids, rows, media, tiles, held, start = batch.column("doc_id"), [], [], [], 0, 0
-            for i in range(len(off) - 1):
-                raw = data[off[i] : off[i + 1]].tobytes()
-                payload, stored = payload_to_media(raw)
+            ids, n, rows, held, start = batch.column("doc_id"), batch.column("n_bytes").to_pylist(), [], 0, 0
+            for i, stored in enumerate(batch.column("media")):
+                stored = stored.as_py()
                 pixels = decode(stored)
                 back = pixels.tobytes()
                 t = tile(pixels, tile_size)
-                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(pixels), hashlib.sha256(t).hexdigest()))
-                held += (len(stored) + len(t)) if keep else 0
-                if keep:
-                    media.append(stored)
-                    tiles.append(t)
-                if held > 8 << 20 or i + 2 == len(off):
+                rows.append((n[i], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(pixels), hashlib.sha256(t).hexdigest(), t))
+                held += len(t)
+                if held > HELD_BYTES or i + 1 == len(ids):
                     cols = [pa.array(c, f[1]) for c, f in zip(zip(*rows, strict=True), _FIELDS, strict=True)]
-                    extra = [pa.array(media, pa.binary()), pa.array(tiles, pa.binary())] if keep else []
-                    yield pa.RecordBatch.from_arrays([ids.slice(start, len(rows)), *cols, *extra], names=["doc_id", *[f[0] for f in _FIELDS], *(["media", "tile"] if keep else [])])
-                    rows, media, tiles, held, start = [], [], [], 0, i + 1
+                    yield pa.RecordBatch.from_arrays([ids.slice(start, len(rows)), *cols], names=["doc_id", *[f[0] for f in _FIELDS]])
+                    rows, held, start = [], 0, i + 1
 
-    return make
+    return describe
 
 
-def media_columns(docs: DataFrame, tile_size: int = 32, keep: bool = True) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): digests, sizes and difference hash, and with ``keep`` the media file and its NPY tile.
+def media_features(files: DataFrame, tile_size: int) -> DataFrame:
+    """Sizes, digests, difference hash (feature) and NPY tile per row of ``files`` (doc_id, n_bytes, media), each file decoded."""
+    return files.select("doc_id", "n_bytes", "media").mapInArrow(_describer(tile_size), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string, tile binary")
 
-    The text's UTF-8 bytes, padded with spaces to a positive multiple of 192, are the samples; equal texts give
-    equal values. Null and empty texts give one row of spaces. One document is in memory at a time.
-    """
-    extra = ", media binary, tile binary" if keep else ""
-    return docs.select("doc_id", "text").mapInArrow(_maker(tile_size, keep), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string" + extra)
 
+def media_columns(docs: DataFrame, tile_size: int = 16, path: str | None = None) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): digests, sizes, difference hash and NPY tile of its media file.
 
-def write_tiles(media: DataFrame, path: str) -> None:
-    """Write (doc_id, tile) as a Parquet table of NPY files, one a row, wherever Spark can write."""
-    media.select("doc_id", "tile").write.parquet(path)
+    Two tables are written: ``media`` with the files, and ``tiles`` with an NPY file a row beside what was found in
+    the files as they were read back. They stand under ``path`` and stay there, or in the shared folder until the
+    driver ends. Null and empty texts give one row of spaces; repeated rows give a row each. One document is in
+    memory at a time.
+    """
+    files = written(media_files(docs), "media", path and f"{path}/media", compression="zstd")
+    return written(media_features(files, tile_size), "tiles", path and f"{path}/tiles", compression="zstd")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    return media_columns(table(spark, sf_dir, "documents"), keep=False)
+    return media_columns(table(spark, sf_dir, "documents")).drop("tile")

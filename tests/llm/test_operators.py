@@ -533,23 +533,40 @@ def test_area_resize_equals_definition(size):
     assert np.allclose(media.area_resize(x, h, w), want)
 
 
-def test_media_columns(spark, odd_docs, no_docs):
+def test_difference_hash_equals_definition():
+    """Bit by bit from the mean luminance of each of the 9 x 8 areas."""
+    rng = np.random.default_rng(3)
+    for shape in ((8, 9), (16, 27, 3), (40, 18, 3)):
+        x = rng.integers(0, 256, shape, dtype=np.uint8)
+        grey = x.astype(float) if x.ndim == 2 else 0.299 * x[..., 0] + 0.587 * x[..., 1] + 0.114 * x[..., 2]
+        h, w = shape[0] // 8, shape[1] // 9
+        mean = [[grey[i * h : (i + 1) * h, j * w : (j + 1) * w].mean() for j in range(9)] for i in range(8)]
+        bits = "".join("1" if round(mean[i][j], 6) < round(mean[i][j + 1], 6) else "0" for i in range(8) for j in range(8))
+        assert media.difference_hash(x) == f"{int(bits, 2):016x}"
+
+
+def test_media_columns(spark, odd_docs, no_docs, tmp_path):
     import io
 
-    rows = media.media_columns(odd_docs).collect()
+    rows = media.media_columns(odd_docs, path=str(tmp_path / "store")).collect()
     assert len(rows) == odd_docs.count()
+    # the stored tables are opened anew
+    files, tiles = (spark.read.parquet(str(tmp_path / "store" / x)) for x in ("media", "tiles"))
+    media_of = {r["doc_id"]: bytes(r["media"]) for r in files.collect()}
+    assert sorted(map(str, rows)) == sorted(map(str, tiles.collect()))
     texts = dict(enumerate(ODD))
     for r in rows:
         if r["doc_id"] is None:
             continue
         raw = (texts[r["doc_id"]] or "").encode()
         payload = raw + b" " * ((-len(raw)) % 192 or (0 if raw else 192))
-        stored = bytes(r["media"])
+        stored = media_of[r["doc_id"]]
         assert media.decode(stored).tobytes() == payload
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
         t = np.load(io.BytesIO(bytes(r["tile"])))
-        assert t.dtype == np.uint8 and t.shape[:2] == (32, 32) and len(r["feature"]) == 16
+        assert t.dtype == np.uint8 and t.shape[:2] == (16, 16) and len(r["feature"]) == 16
+        assert r["feature"] == media.difference_hash(media.decode(stored)) and r["tile_sha256"] == hashlib.sha256(bytes(r["tile"])).hexdigest()
     assert media.media_columns(no_docs).count() == 0
 
 
