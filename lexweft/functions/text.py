@@ -124,8 +124,9 @@ def mention_window(context: Column | str, mention: Column | str, around: int = 2
     """
     context, mention = col(context), col(mention)
     s = sentences(context)
-    hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))), lambda i: F.contains(F.lower(F.element_at(s, i)), F.lower(mention)))
-    at = F.try_element_at(hits, F.lit(1))
+    # the split stands outside of the lambda, which would repeat it for each sentence
+    at = F.array_position(F.transform(s, lambda x: F.contains(F.lower(x), F.lower(mention))), F.lit(True)).cast("int")
+    at = F.when(at > 0, at)
     start = F.greatest(at - around, F.lit(1))
     window = F.array_join(F.slice(s, start, at + around - start + 1), " ")
     return F.when(at.isNull(), _replace_first(context, mention)).otherwise(_highlight(window, mention))

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.answers import answer_in_reasoning, parse_expansion
+from ..functions.answers import answers_in_reasoning, parse_expansions
 from ..functions.text import choice, expansion_prompt, mention_window, tree_category
 
+# Fixed value: the question that a prompt ends with.
 ASK = "Which candidate best matches the mention in the given context? Reply with ONLY the number."
 
 
@@ -43,7 +44,7 @@ def prompts(candidates: DataFrame, mentions: DataFrame, most: int = 10) -> DataF
     return m.select("mention_id", text.alias("prompt"), "n")
 
 
-def ask(rows: DataFrame, client: Callable[[], Callable[[str], str]]) -> DataFrame:
+def ask(rows: DataFrame, client: Callable[[], Callable[[str], str]], id_type: str = "long") -> DataFrame:
     """``rows`` (mention_id, prompt, n) with ``answer``; ``client`` runs once a worker; an error gives a null answer."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,7 +59,7 @@ def ask(rows: DataFrame, client: Callable[[], Callable[[str], str]]) -> DataFram
         for frame in frames:
             yield frame.assign(answer=frame["prompt"].map(safe))
 
-    return rows.select("mention_id", "prompt", "n").mapInPandas(run, "mention_id long, prompt string, n long, answer string")
+    return rows.select("mention_id", "prompt", "n").mapInPandas(run, f"mention_id {id_type}, prompt string, n long, answer string")
 
 
 def decide(answers: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -77,20 +78,10 @@ def expand_abbreviations(mentions: DataFrame, client: Callable[[], Callable[[str
     one = mentions.withColumn("upper", F.upper("mention")).withColumn("__r", F.row_number().over(w)).filter("__r = 1")
     asked = one.select("upper", "mention", expansion_prompt("mention", "context", "title").alias("prompt"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = client()
-        for frame in frames:
-            found = []
-            for mention, prompt in zip(frame["mention"], frame["prompt"], strict=True):
-                try:
-                    answer = call(prompt)
-                    x = parse_expansion(answer) or answer_in_reasoning(answer)
-                except Exception:
-                    x = None
-                found.append(x if x and len(x) > len(mention) else None)
-            yield frame.assign(expansion=found, source=["llm" if x else "failed" for x in found])[["upper", "prompt", "expansion", "source"]]
-
-    return asked.mapInPandas(run, "upper string, prompt string, expansion string, source string")
+    answered = ask(asked.select(F.col("upper").alias("mention_id"), "prompt", F.length("mention").cast("long").alias("n")), client, "string")
+    term = F.coalesce(parse_expansions("answer"), answers_in_reasoning("answer"))
+    found = answered.withColumn("expansion", F.when(F.length(term) > F.col("n"), term))
+    return found.select(F.col("mention_id").alias("upper"), "prompt", "expansion", F.when(F.col("expansion").isNotNull(), "llm").otherwise("failed").alias("source"))
 
 
 def call_statistics(mentions: DataFrame, results: DataFrame) -> DataFrame:

@@ -231,6 +231,19 @@ FROM b JOIN part ON p_partkey = mention_id""",
     "llm_parse": f"WITH {_ANSWERS} SELECT mention_id, coalesce(choice, 0) AS choice FROM ch",
     "llm_decide": f"WITH {_ANSWERS} SELECT mention_id, mention_id + coalesce(choice, 1) - 1 AS entity_id, CAST(coalesce(choice, 1) AS INTEGER) AS chosen_rank, CASE WHEN choice IS NULL THEN 'fallback' ELSE 'llm' END AS confidence FROM ch JOIN part ON p_partkey = mention_id + coalesce(choice, 1) - 1",
 }
+_SHORTS = f"WITH {T.KB}, k AS (SELECT entity_id, label, split_part(label, ' ', 1) AS a, split_part(label, ' ', 2) AS b FROM kb), s AS (SELECT *, upper(left(a, 1) || left(b, 1) || 'X') AS short FROM k)"
+ORACLES["abbrev_extract"] = f"""{_SHORTS}
+SELECT entity_id AS doc_id, short AS short_upper, short, label || ' xylem' AS expansion, 'parenthetical' AS confidence FROM s
+UNION ALL SELECT entity_id, reverse(short), reverse(short), 'xylem ' || b || ' ' || a, 'reverse_parenthetical' FROM s"""
+ORACLES["abbrev_expand"] = f"""{_SHORTS}
+SELECT entity_id AS mention_id, short AS mention, label || ' xylem' AS expansion FROM s UNION ALL SELECT entity_id, short || 's', label || ' xylem' FROM s
+UNION ALL SELECT entity_id, 'COPD', 'chronic obstructive pulmonary disease' FROM s UNION ALL SELECT entity_id, 'all', NULL FROM s"""
+ORACLES["llm_abbreviations"] = f"""{_SHORTS}
+SELECT count(DISTINCT short) AS calls, count(*) - count(DISTINCT short) AS cached, count(DISTINCT short) AS expanded, CAST(0 AS BIGINT) AS failed FROM s"""
+#: By form: what the answer means, and what its last line says.
+ORACLES["answer_cleaning"] = """WITH n AS (SELECT DISTINCT p_name FROM part), f AS (SELECT p_name, CAST(unnest(range(0, 6)) AS INTEGER) AS form FROM n)
+SELECT p_name, form, CASE form WHEN 3 THEN 'Let me see' WHEN 4 THEN NULL ELSE p_name END AS expansion,
+ CASE form WHEN 1 THEN '<think>x</think>' WHEN 3 THEN 'The expansion is: ' || p_name WHEN 4 THEN 'UNKNOWN' WHEN 5 THEN '"' || p_name || '"' ELSE p_name END AS reasoned FROM f"""
 ORACLES["llm_disambiguate_fake"] = f"""WITH p AS ({ORACLES["prompt_build"]}), a AS (SELECT mention_id, n, len(regexp_extract_all(prompt, '[^\\s]+')) % 3 + 1 AS c FROM p)
 SELECT mention_id, p_partkey AS entity_id, CAST(CASE WHEN c <= n THEN c ELSE 1 END AS INTEGER) AS chosen_rank, CASE WHEN c <= n THEN 'llm' ELSE 'fallback' END AS confidence, p_name AS preferred_label
 FROM a JOIN part ON p_partkey = mention_id + CASE WHEN c <= n THEN c ELSE 1 END - 1"""

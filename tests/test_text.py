@@ -39,13 +39,42 @@ def test_parse_choice(spark):
     assert [c(s) for s in ("…reason…\n3", "NONE", "99", "<think>2</think> 4", "choose 2 or 3", "", None, "1 then\nno digits")] == [3, None, None, 4, 2, None, None, 1]
 
 
-def test_answers():
-    p = answers.parse_expansion
-    assert p("AMI stands for acute myocardial infarction.") == "acute myocardial infarction"
-    assert p("<think>hm</think>\n**acute myocardial infarction**") == "acute myocardial infarction"
-    assert p("UNKNOWN.") is None and p("") is None and p(None) is None and p("ab") is None
-    assert p('"quoted term"') == "quoted term"
-    assert answers.answer_in_reasoning("1. Analyze\nAnswer: chronic kidney disease") == "chronic kidney disease"
+def test_answers(spark):
+    def found(f, texts):
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", f("t").alias("x")).collect()
+        return {r["t"]: r["x"] for r in rows}
+
+    cases = {
+        "AMI stands for acute myocardial infarction.": "acute myocardial infarction",
+        "<think>hm</think>\n**acute myocardial infarction**": "acute myocardial infarction",
+        "UNKNOWN.": None, "I don't know": None, "": None, None: None, "ab": None, "NONE": None, "x" * 101: None,
+        '"quoted term"': "quoted term", "'it'": None,
+        "Answer: chronic kidney disease": "chronic kidney disease",
+        "The full form is chronic kidney disease": "chronic kidney disease",
+        "The abbreviation is common.\nCKD refers to 'chronic kidney disease'.\nBye": "chronic kidney disease",
+        "In this context it is rare.\nchronic kidney disease.\nMore text": "chronic kidney disease",
+        "1) see\n" + "long " * 30 + "\n2) renal failure": "2) renal failure",
+        "Expansion: **renal failure**": "renal failure",
+    }
+    assert found(answers.parse_expansions, cases) == cases
+    cases = {
+        "1. Analyze\nAnswer: chronic kidney disease": "chronic kidney disease",
+        "Thinking Process:\n3. Conclusion: renal failure.": "renal failure",
+        "so → first\nso → *second one*.": "second one",
+        "renal failure\nStep two\n* a bullet\nTherefore": "renal failure",
+        "Answer: unknown\nrenal **failure** now": "renal failure now",
+        "the **acute phase**": "acute phase",
+        "": None, None: None, "- x\nInput": None,
+    }
+    assert found(answers.answers_in_reasoning, cases) == cases
+
+
+def test_trimming():
+    t = abbrev.trim_long_form
+    assert t("AMI", "Patients with acute myocardial infarction") == "acute myocardial infarction"
+    assert t("PD", "Parkinson disease was diagnosed in") == "Parkinson disease"
+    assert t("SSRIs", "selective serotonin reuptake inhibitors") == "selective serotonin reuptake inhibitors"
+    assert t("QZ", "nothing in here fits it") == "nothing in here fits it"
 
 
 def test_windows(spark):
