@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import LabelBlock, difflib_ratios, sort_tokens
 from ..functions.text import label_tokens
+from ..sources.settle import small
 
 #: Queries that are sent to the executors at a time.
 BLOCK = 20_000
@@ -44,7 +45,10 @@ def best_per_entity(scored: DataFrame, k: int) -> DataFrame:
 
 
 def _score_block(queries: list[str], batch: pa.RecordBatch, limit: int, score: Callable[[str, list[str], LabelBlock | None], np.ndarray], sort: bool) -> pa.RecordBatch:
-    """The best ``limit`` labels of a batch for each query, and all that tie with the last one."""
+    """The best ``limit`` labels of a batch for each query, and all that tie with the last one.
+
+    Without ``sort``, only the best label of each entity counts.
+    """
     labels = [sort_tokens(x or "") if sort else x or "" for x in batch.column("label_norm").to_pylist()]
     block = LabelBlock(labels) if sort else None
     ords = np.array(batch.column("label_ord").to_pylist(), np.int64)
@@ -54,6 +58,8 @@ def _score_block(queries: list[str], batch: pa.RecordBatch, limit: int, score: C
     for q in queries:
         s = score(sort_tokens(q) if sort else q, labels, block)
         take = order[np.argsort(-s[order], kind="stable")]
+        if not sort and len(take):
+            take = take[np.sort(np.unique(ids[take], return_index=True)[1])]
         if len(take) > limit:
             take = take[: limit + int((s[take[limit:]] == s[take[limit - 1]]).sum())]
         out_q += [q] * len(take)
@@ -116,8 +122,8 @@ def fuzzy_topk(queries: DataFrame, labels: DataFrame, k: int = 10, over: int = 3
 
 
 def difflib_topk(queries: DataFrame, labels: DataFrame, k: int = 10) -> DataFrame:
-    """The same with difflib's ratio; an entity's best label is taken over all labels."""
-    return best_per_entity(_in_blocks(queries, labels, 1 << 60, _difflib, False), k)
+    """The same with difflib's ratio; an entity's best label is taken over all labels. A task passes on its best k entities."""
+    return best_per_entity(_in_blocks(queries, labels, k, _difflib, False), k)
 
 
 def token_blocked_topk(queries: DataFrame, labels: DataFrame, scorer: Callable[[Column, Column], Column], k: int = 10, threshold: float = 40.0) -> DataFrame:
@@ -131,27 +137,42 @@ def token_blocked_topk(queries: DataFrame, labels: DataFrame, scorer: Callable[[
     return best_per_entity(pairs.withColumn("score", scorer(F.col("query"), F.col("label_norm"))).filter(F.col("score") >= threshold), k)
 
 
-def term_statistics(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """((key, term, tf, dl), (term, df)) of the tokens of a text column."""
-    t = docs.select(key, F.explode(label_tokens(text, 1)).alias("term"))
-    tf = t.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    dl = tf.groupBy(key).agg(F.sum("tf").alias("dl"))
-    return tf.join(dl, key), tf.groupBy("term").agg(F.count("*").alias("df"))
+def term_statistics(docs: DataFrame, key: str, text: str, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((key, term, tf, dl), (term, df)) of the tokens of a text column; with ``terms`` (term) only of these."""
+    t = docs.select(key, label_tokens(text, 1).alias("__t")).select(key, F.size("__t").cast("long").alias("dl"), F.explode("__t").alias("term"))
+    if terms is not None:
+        t = t.join(small(terms), "term", "left_semi")
+    tf = t.groupBy(key, "term", "dl").agg(F.count("*").alias("tf")).select(key, "term", "tf", "dl")
+    return tf, tf.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, key: str, text: str, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, key, score, rank) by BM25 over an inverted index of ``docs``; a term counts once a query."""
+def _part(k1: float = 1.2, b: float = 0.75) -> Column:
+    """A term's share of the BM25 score, from n, df, tf, dl and avgdl."""
+    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+
+
+def _totals(docs: DataFrame, text: str) -> DataFrame:
+    """(n, avgdl): one row."""
+    return docs.filter(F.col(text).isNotNull()).agg(F.count("*").alias("n"), F.avg(F.size(label_tokens(text, 1))).alias("avgdl"))
+
+
+def bm25_scores(queries: DataFrame, docs: DataFrame, key: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query, key, score) by BM25 over the postings of the queries' terms in ``docs``; a term counts once a query."""
     q = queries.select(F.lower("mention").alias("query")).filter("query IS NOT NULL").distinct()
     qt = q.withColumn("term", F.explode(F.array_distinct(label_tokens("query", 1))))
-    tf, df = term_statistics(docs, key, text)
-    # Only the postings of query terms take part; the totals are two numbers.
-    n = docs.filter(F.col(text).isNotNull()).agg(F.count("*").alias("n"), F.avg(F.size(label_tokens(text, 1))).alias("avgdl"))
-    hit = tf.join(df, "term").join(qt, "term").join(F.broadcast(n))  # one row
-    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy("query", key).agg(F.round(F.sum(part), 6).alias("score"))
+    # other terms leave before anything is counted or shuffled
+    tf, df = term_statistics(docs, key, text, qt.select("term").distinct())
+    # what the queries' terms are worth is a table no longer than the queries
+    worth = small(qt.join(df, "term"))
+    hit = tf.join(worth, "term").join(F.broadcast(_totals(docs, text)))  # one row
+    return hit.groupBy("query", key).agg(F.round(F.sum(_part(k1, b)), 6).alias("score"))
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, key: str, text: str, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query, key, score, rank): the best ``k`` of ``bm25_scores``."""
     w = Window.partitionBy("query").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return bm25_scores(queries, docs, key, text, k1, b).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def edits_allowed(term: Column) -> Column:
@@ -159,43 +180,79 @@ def edits_allowed(term: Column) -> Column:
     return F.when(F.length(term) <= 2, 0).when(F.length(term) <= 5, 1).otherwise(2)
 
 
+def _deletions(term: Column, most: Column) -> Column:
+    """The term and what is left of it after up to ``most`` (0 to 2) deletions."""
+    less = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
+    none = F.array().cast("array<string>")
+    one = F.when(most >= 1, less(term)).otherwise(none)
+    two = F.when(most >= 2, F.flatten(F.transform(less(term), less))).otherwise(none)
+    return F.array_distinct(F.concat(F.array(term), one, two))
+
+
+def near_terms(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(qterm, term): the terms of ``vocabulary`` (term) within the edits that each of ``wanted`` (qterm) tolerates.
+
+    Terms n edits apart share a string that n deletions or fewer make of each; so only such pairs are compared.
+    """
+    q = wanted.select("qterm", F.explode(_deletions(F.col("qterm"), edits_allowed(F.col("qterm")))).alias("__d"))
+    v = vocabulary.select("term", F.explode(_deletions(F.col("term"), F.lit(2))).alias("__d"))
+    near = q.join(v, "__d").filter(F.levenshtein("qterm", "term") <= edits_allowed(F.col("qterm")))
+    return near.select("qterm", "term").distinct()
+
+
 def boosted_search(queries: DataFrame, entities: DataFrame, k: int = 10) -> DataFrame:
     """Exact synonym times 10, BM25 of all labels times 2 with edit tolerance, BM25 of the preferred label times 1.5.
 
-    Query terms meet the vocabulary by edit distance: the vocabulary is the small side of that comparison, and
-    terms are compared only if their lengths allow it.
+    Query terms meet the vocabulary through shared deletions.
     """
     e = entities.select("entity_id", "preferred_label", "synonyms", F.array_join("synonyms", " ").alias("all_labels"))
     q = queries.select(F.lower("mention").alias("query")).filter("query IS NOT NULL").distinct()
     exact = q.join(e.select("entity_id", F.explode(F.array_distinct(F.transform("synonyms", F.lower))).alias("query")), "query").select("query", "entity_id", F.lit(10.0).alias("score"))
     tf, df = term_statistics(e, "entity_id", "all_labels")
     qt = q.withColumn("qterm", F.explode(F.array_distinct(label_tokens("query", 1))))
-    near = qt.select("qterm").distinct().withColumn("len", F.explode(F.sequence(F.length("qterm") - edits_allowed(F.col("qterm")), F.length("qterm") + edits_allowed(F.col("qterm")))))
-    near = near.join(df.withColumn("len", F.length("term")), "len").filter(F.levenshtein("qterm", "term") <= edits_allowed(F.col("qterm"))).select("qterm", "term")
-    n = e.agg(F.count("*").alias("n"), F.avg(F.size(label_tokens("all_labels", 1))).alias("avgdl"))
-    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    every = qt.join(near, "qterm").join(tf, "term").join(df, "term").join(F.broadcast(n)).groupBy("query", "entity_id").agg(F.sum(2.0 * part).alias("score"))
-    first = bm25_topk(queries, e, "entity_id", "preferred_label", k=1 << 30).select("query", "entity_id", (F.col("score") * 1.5).alias("score"))
+    near = near_terms(qt.select("qterm").distinct(), df.select("term"))
+    every = qt.join(near, "qterm").join(df, "term").join(tf, "term").join(F.broadcast(_totals(e, "all_labels"))).groupBy("query", "entity_id").agg(F.sum(2.0 * _part()).alias("score"))  # one row
+    first = bm25_scores(queries, e, "entity_id", "preferred_label").select("query", "entity_id", (F.col("score") * 1.5).alias("score"))
     total = exact.union(every).union(first).groupBy("query", "entity_id").agg(F.round(F.sum("score"), 6).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "entity_id")
     return total.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _dense_scorer(ids: np.ndarray, matrix: np.ndarray, limit: int):
+#: Query vectors that a task multiplies with its vectors at a time.
+DENSE_BLOCK = 2_000
+
+
+def _matrix(vectors: pa.Array, n: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64) if n else np.zeros((0, 1))
+
+
+def _dense_block(ids: np.ndarray, matrix: np.ndarray, batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """The best ``limit`` vectors of a batch for each query, and all that tie with the last one."""
+    if not batch.num_rows or not len(ids):
+        return
+    # a rounded score decides, so that no order of summation does
+    s = np.round(matrix @ _matrix(batch.column("embedding"), batch.num_rows).T, 6)
+    keep = min(limit, batch.num_rows)
+    cut = np.partition(s, batch.num_rows - keep, axis=1)[:, batch.num_rows - keep]
+    of, take = np.nonzero(s >= cut[:, None])
+    rows = pa.array(take)
+    yield pa.RecordBatch.from_arrays([pa.array(ids[of]), batch.column("entity_id").take(rows), batch.column("label_ord").take(rows), pa.array(s[of, take])], names=["query", "entity_id", "label_ord", "score"])
+
+
+def _dense_against(ids: np.ndarray, matrix: np.ndarray, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _dense_block(ids, matrix, batch, limit)
+
+    return run
+
+
+def _dense_blocks(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            v = flat.reshape(batch.num_rows, -1).astype(np.float64) if batch.num_rows else np.zeros((0, matrix.shape[1]))
-            s = matrix @ v.T
-            keep = min(limit, batch.num_rows)
-            for i, q in enumerate(ids):
-                # a rounded score decides, so that no order of summation does
-                r = np.round(s[i], 6)
-                cut = np.partition(r, len(r) - keep)[len(r) - keep] if keep else 0
-                take = np.flatnonzero(r >= cut)
-                rows = pa.array(take)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), q)), batch.column("entity_id").take(rows), batch.column("label_ord").take(rows), pa.array(r[take])], names=["query", "entity_id", "label_ord", "score"])
+            for i in range(batch.num_rows):
+                q, v = (pa.RecordBatch.from_struct_array(batch.column(c)[i].values) for c in ("queries", "vectors"))
+                yield from _dense_block(q.column("query").to_numpy(), _matrix(q.column("embedding"), q.num_rows), v, limit)
 
     return run
 
@@ -203,18 +260,20 @@ def _dense_scorer(ids: np.ndarray, matrix: np.ndarray, limit: int):
 def dense_topk(queries: DataFrame, index: DataFrame, k: int = 10, over: int = 3) -> DataFrame:
     """Exact inner-product search: ``over`` * k vectors, then at most k entities of each query.
 
-    ``queries`` has query (long) and embedding, ``index`` entity_id (long), label_ord (long) and embedding.
-    Queries go out in blocks; each task multiplies them with its vectors at once.
+    ``queries`` has query (long) and embedding, ``index`` entity_id (long), label_ord (long) and embedding. One block
+    of queries goes to where the vectors are; of more, each block meets each block of vectors in a task of its own.
     """
-    rows = queries.select("query", "embedding").orderBy("query").collect()
-    parts = []
-    for i in range(0, max(len(rows), 1), BLOCK // 10):
-        block = rows[i : i + BLOCK // 10]
-        m = np.array([r["embedding"] for r in block], np.float64).reshape(len(block), -1)
-        parts.append(index.select("entity_id", "label_ord", "embedding").mapInArrow(_dense_scorer(np.array([r["query"] for r in block], np.int64), m, over * k), "query long, entity_id long, label_ord long, score double"))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.union(p)
+    q, rows = queries.select("query", "embedding"), index.select("entity_id", "label_ord", "embedding")
+    schema = "query long, entity_id long, label_ord long, score double"
+    first = q.limit(DENSE_BLOCK + 1).collect()  # a block at most
+    if len(first) <= DENSE_BLOCK:
+        m = np.array([r["embedding"] for r in first], np.float64).reshape(len(first), -1) if first else np.zeros((0, 1))
+        scored = rows.mapInArrow(_dense_against(np.array([r["query"] for r in first], np.int64), m, over * k), schema)
+    else:
+        blocks, parts = -(-q.count() // DENSE_BLOCK), max(1, -(-rows.count() // BLOCK))
+        qb = q.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks))).agg(F.collect_list(F.struct("query", "embedding")).alias("queries")).select("queries")
+        vb = rows.groupBy(F.pmod(F.xxhash64("entity_id", "label_ord"), F.lit(parts))).agg(F.collect_list(F.struct("entity_id", "label_ord", "embedding")).alias("vectors")).select("vectors")
+        scored = vb.crossJoin(qb).repartition(blocks * parts).mapInArrow(_dense_blocks(over * k), schema)  # blocks of a stated set
     top = top_labels(scored, over * k, "label_ord")
     per = top.groupBy("query", "entity_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "entity_id")

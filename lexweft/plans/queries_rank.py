@@ -54,8 +54,10 @@ def rule6_type_penalty(spark, d) -> DataFrame:
 def rule7_overlap(spark, d) -> DataFrame:
     n = T.table(spark, d, "benchmark").select(F.col("item_id"), F.col("text").alias("definition"))
     docs = T.table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    pairs = docs.withColumn("item_id", F.col("k") % 40).join(F.broadcast(n), "item_id")  # 40 items
-    mention = F.substr("text", F.lit(1), F.lit(40))
+    # each document meets the item whose place among the items is its id's remainder
+    n = n.join(F.broadcast(n.agg(F.max("item_id").alias("last"))))  # one row
+    pairs = docs.join(n, F.col("item_id") == F.pmod(F.col("k"), F.col("last") + 1))
+    mention = F.col("text")
     return pairs.select("doc_id", "item_id", F.round(R.overlap_score(F.col("definition"), mention, F.col("text"), 3.0), 6).alias("overlap"))
 
 
@@ -142,9 +144,9 @@ def abbreviation_diagnostics(spark, d) -> DataFrame:
 
 
 def fair_subset(spark, d) -> DataFrame:
-    o = T.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("cui")).agg(F.sort_array(F.collect_set("o_orderpriority")).alias("ids"))
-    c = T.table(spark, d, "customer").select(F.col("c_custkey").alias("cui"), "c_name")
-    return c.join(o, "cui").select("cui", "c_name", F.array_join("ids", "|").alias("ids"))
+    o = T.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("cui"), F.col("o_orderpriority").alias("entity_id"))
+    c = T.table(spark, d, "customer").select(F.concat(F.lit("UMLS:"), "c_custkey").alias("mesh_id"), "c_name")
+    return E.linkable(c, "medmentions", o).select(F.col("cui").cast("long").alias("cui"), "c_name", F.col("mesh_id").alias("ids"))
 
 
 QUERIES = {f.__name__: f for f in (rule5_multi_source, rule6_type_penalty, rule7_overlap, rerank_full, rule_triggers, topic_detect, topic_rescore, topic_known, accuracy_at_k, phase_transitions, accuracy_by_type, expansion_diagnostics, gold_alias_expand, dedupe_keep_first, abbreviation_diagnostics, fair_subset)}
@@ -161,8 +163,8 @@ _TW = _TOPIC.format(", ".join(" + ".join(f"{w} * {_N(k)}" for k, q, w in LEXICON
 ORACLES = {
     "rule5_multi_source": f"WITH {_SOURCES} SELECT c_custkey AS entity_id, 2.0::DOUBLE * coalesce(n_sources, 0) AS boost FROM customer LEFT JOIN src ON entity_id = c_custkey",
     "rule6_type_penalty": f"WITH {_CAND} SELECT mention_id, CAST(ord AS INTEGER) AS ord, entity_id, r6 AS penalty FROM r6",
-    "rule7_overlap": f"""WITH p AS (SELECT doc_id, item_id, {_TOK('b.text')} AS d, {_TOK("left(coalesce(a.text, ''), 40)")} AS m, {_TOK("coalesce(a.text, '')")} AS c FROM documents a JOIN benchmark b ON b.item_id = a.doc_id % 40)
-SELECT doc_id, item_id, round(least(len(list_intersect(m, d)), 2) * 3.0::DOUBLE + least(len(list_intersect(c, d)), 2) * (0.3::DOUBLE * 3), 6) AS overlap FROM p""",
+    "rule7_overlap": f"""WITH p AS (SELECT doc_id, item_id, {_TOK('b.text')} AS d, {_TOK("coalesce(a.text, '')")} AS c FROM documents a JOIN benchmark b ON b.item_id = a.doc_id % (SELECT max(item_id) + 1 FROM benchmark))
+SELECT doc_id, item_id, round(least(len(list_intersect(c, d)), 2) * 3.0::DOUBLE + least(len(list_intersect(c, d)), 2) * (0.3::DOUBLE * 3), 6) AS overlap FROM p""",
     "rerank_full": f"{_RERANK} SELECT mention_id, CAST(ord AS INTEGER) AS ord, entity_id, round(score + r5 + r6 + r7 + protected, 6) AS new_score, CAST(row_number() OVER (PARTITION BY mention_id ORDER BY score + r5 + r6 + r7 + protected DESC, ord) AS INTEGER) AS new_rank, protected FROM fin",
     "rule_triggers": f"{_RERANK}, t AS (SELECT mention_id, bool_or(r5 <> 0) AS a, bool_or(r6 <> 0) AS b, bool_or(r7 <> 0) AS c, bool_or(protected <> 0) AS p FROM fin GROUP BY 1) SELECT unnest(['r5', 'r6', 'r7', 'protected']) AS rule, unnest([count(*) FILTER (a), count(*) FILTER (b), count(*) FILTER (c), count(*) FILTER (p)]) AS mentions FROM t",
     "topic_detect": f"WITH {_TW} SELECT doc_id, prefix, weight FROM tw",

@@ -31,7 +31,7 @@ def difflib_topk(spark, d) -> DataFrame:
 
 
 def bm25_topk(spark, d) -> DataFrame:
-    q = T.table(spark, d, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("mention"))
+    q = T.table(spark, d, "benchmark").select(F.col("text").alias("mention"))
     return R.bm25_topk(q, T.table(spark, d, "documents"), "doc_id", "text", 5)
 
 
@@ -62,12 +62,12 @@ def multi_model_merge(spark, d) -> DataFrame:
 
 
 def dense_index_search(spark, d) -> DataFrame:
-    """Index of part names and brands by the built-in encoder; names as queries find themselves."""
+    """Index of part names and brands by the built-in encoder; names as queries find themselves first."""
     e = T.table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("entity_id"), F.array_sort(F.collect_set("p_type")).alias("synonyms")).select("entity_id", F.col("p_name").alias("preferred_label"), "synonyms")
     load = V.hashed_trigrams()
     q = e.select(F.col("entity_id").alias("query"), F.upper("preferred_label").alias("mention"))
-    found = V.retrieve(q, V.build_index(e, load), load, 3).filter("rank = 1")
-    return V.score_candidates(found.join(q, "query").join(e.select("entity_id", "preferred_label"), "entity_id"), load).select("query", "entity_id", "score", F.round("dense", 3).alias("dense"))
+    found = V.retrieve(q, V.build_index(e, load), load, 3)
+    return V.score_candidates(found.join(q, "query").join(e.select("entity_id", "preferred_label"), "entity_id"), load).select("query", "entity_id", "rank", "score", F.round("dense", 3).alias("dense"))
 
 
 def hybrid_rescore(spark, d) -> DataFrame:
@@ -187,11 +187,10 @@ lt AS (SELECT entity_id, lower(label) AS label, unnest(list_distinct(regexp_extr
 p AS (SELECT DISTINCT query, entity_id, {T.sorted_sql('query')} AS a, {T.sorted_sql('label')} AS b FROM qt JOIN lt USING (token) WHERE length(token) >= 2),
 s AS (SELECT query, entity_id, {_RATIO} AS score FROM p)
 SELECT query, entity_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, entity_id) AS INTEGER) AS rank FROM s WHERE score >= 40 QUALIFY rank <= 5""",
-    "bm25_topk": f"""WITH qs AS (SELECT array_to_string(string_split(text, ' ')[1:6], ' ') AS mention FROM benchmark), {_BM25}
+    "bm25_topk": f"""WITH qs AS (SELECT text AS mention FROM benchmark), {_BM25}
 SELECT query, doc_id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""",
     "exact_label_lookup": f"WITH {T.KB} SELECT p_partkey, upper(p_name) AS mention, entity_id, label FROM part JOIN kb ON p_name = label",
     "dense_knn_topk": f"WITH {_dense(3, 3)} SELECT query, entity_id, score, rank FROM x WHERE rank <= 3",
-    "dense_index_search": f"WITH {T.KB} SELECT entity_id AS query, entity_id, 1.0::DOUBLE AS score, 100.0::DOUBLE AS dense FROM kb",
     "multi_model_merge": f"""WITH a AS (WITH {_dense(5, 3, 1, 32)} SELECT * FROM x WHERE rank <= 5), b AS (WITH {_dense(5, 3, 33, 32)} SELECT * FROM x WHERE rank <= 5)
 SELECT query, entity_id, max(score) AS max_score, round(sum(score) / 2, 7) AS mean_score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2""",
     "hybrid_rescore": """WITH s AS (SELECT p_partkey, p_size, round(100 * list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(z.embedding AS DOUBLE[])), 4) AS dense

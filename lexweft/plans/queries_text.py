@@ -56,7 +56,7 @@ def abbrev_expand(spark, d) -> DataFrame:
 
 
 def mention_extract(spark, d) -> DataFrame:
-    docs = T.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    docs = T.table(spark, d, "documents").select("doc_id", "text")
     return E.mentions(E.tokens(docs), docs)
 
 
@@ -178,7 +178,7 @@ _LIST = ", ".join(f"'{w}'" for w in fixed.MENTION_STOPWORDS)
 _SHORT = ", ".join(f"'{w}'" for w in fixed.COMMON_SHORT)
 
 _IN = lambda x, words: f"{x} IN ({', '.join(chr(39) + w + chr(39) for w in words)})"
-_MENTIONS = rf"""WITH l AS (SELECT item_id AS doc_id, text, regexp_extract_all(text, '\s*(?:\d+(?:\.\d+)?|[\p{{L}}\p{{M}}\p{{N}}]+(?:''[\p{{L}}]+)?|[^\s])') AS l FROM benchmark),
+_MENTIONS = rf"""WITH l AS (SELECT doc_id, text, regexp_extract_all(text, '\s*(?:\d+(?:\.\d+)?|[\p{{L}}\p{{M}}\p{{N}}]+(?:''[\p{{L}}]+)?|[^\s])') AS l FROM documents),
 r AS (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) AS i FROM l),
 w AS (SELECT *, ltrim(raw, ' ' || chr(9) || chr(10) || chr(13)) AS w FROM r),
 s AS (SELECT *, sum(length(raw)) OVER d - length(w) AS start, lower(w) AS lo, coalesce(lag(w) OVER d IN ('.', '!', '?') AND length(raw) > length(w), false) AS e FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
