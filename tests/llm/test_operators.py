@@ -759,3 +759,40 @@ def test_plan_of_native_operators_has_no_python(spark, small):
     for op in (decontaminate.op5, sharding.op10):
         plan = op(spark, small)._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_large_urns_are_drawn_exactly(monkeypatch):
+    """The weights around the mode are the hypergeometric probabilities, and draws from them have their mean and spread."""
+    from math import comb
+
+    for good, bad, n in ((30, 70, 20), (5, 500, 60), (400, 3, 200), (1, 1, 1)):
+        ks, w = sharding._around_mode(good, bad, n)
+        exact = np.array([comb(good, int(k)) * comb(bad, n - int(k)) / comb(good + bad, n) for k in ks])
+        assert np.allclose(w / w.sum(), exact, rtol=1e-9, atol=1e-15) and abs(exact.sum() - 1) < 1e-9
+    rng = np.random.default_rng(1)
+    good, bad, n = 4 * 10**9, 6 * 10**9, 10**5
+    x = np.array([sharding._hypergeometric(rng, good, bad, n) for _ in range(3000)])
+    assert abs(x.mean() - n * 0.4) < 4 * (n * 0.24 / 3000) ** 0.5 and abs(x.std() / (n * 0.24) ** 0.5 - 1) < 0.06
+    monkeypatch.setattr(sharding, "URN", 0)
+    m = sharding.communication_matrix(np.array([50, 0, 7, 43]), 6, 3)
+    assert (m.sum(axis=1) == [50, 0, 7, 43]).all() and m.sum(axis=0).max() - m.sum(axis=0).min() <= 1 and (m >= 0).all()
+
+
+def test_shuffle_of_equal_rows_and_clashing_columns(spark):
+    """Rows without any difference are dealt like others, each row of a partition with equal chances for each shard."""
+    same = spark.range(700).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("x").alias("size"), F.lit(1).alias("__lw_x"), F.lit(5).alias("shard"))
+    for payload in (False, True):
+        rows = sharding.shard_documents(same, 7, payload).collect()
+        assert Counter(r["shard"] for r in rows) == {i: 100 for i in range(7)} and {r["size"] for r in rows} == {8}
+        assert all(sorted(r["slot"] for r in rows if r["shard"] == i) == list(range(100)) for i in range(7))
+    parts = spark.range(0, 900, 1, 9).withColumn("p", F.spark_partition_id())
+    rows = [r for s in range(12) for r in sharding.hypergeometric_shuffle(parts, 3, s).collect()]
+    cells = Counter((r["p"], r["shard"]) for r in rows)
+    assert all(abs(cells[p, s] - 400) < 100 for p in range(9) for s in range(3))
+    low = np.mean([r["slot"] for r in rows if r["id"] < 100])
+    assert abs(low - 149.5) < 15
+
+
+def test_shuffle_exchanges_rows_once(spark, small):
+    plan = sharding.shard_documents(spark.read.parquet(f"{small}/documents.parquet"), payload=True)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(shard", plan)) == 1
