@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, LOWER, U64, Words, mix64, row_chunks, small, table, text_bytes, written
+from .common import SPACES, LOWER, U64, Words, mix64, row_chunks, table, text_bytes, written
 
 WINDOW = 8
 MASK_BITS = 4
@@ -125,8 +125,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("k"))
     c = written(rows.mapInArrow(_chunker, "doc_id long, k long, seq int, digest long, words int, start int, size int, place tinyint"), "chunks")
     seen = c.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.max("place").alias("inner")).filter("first_doc <> last_doc OR inner > 0").select("digest", "first_doc")
-    # a table apart: it is sent to the tasks if it is small, and else the join can split hot digests
-    twice = c.join(small(written(seen, "seen")), "digest").select("doc_id", "k", "seq", "words", "start", "size", "first_doc", ((F.col("doc_id") == F.col("first_doc")) & (F.col("place") < 2)).alias("kept"))
+    # a table apart, so that the join can split hot digests
+    twice = c.join(written(seen, "seen"), "digest").select("doc_id", "k", "seq", "words", "start", "size", "first_doc", ((F.col("doc_id") == F.col("first_doc")) & (F.col("place") < 2)).alias("kept"))
     twice = twice.repartition("doc_id", "k").dropDuplicates(["doc_id", "k", "seq"])
     # consecutive chunks of one document share seq - rank; a part of a run ends where its owner changes
     order = Window.partitionBy("doc_id", "k").orderBy("seq")
