@@ -1,13 +1,14 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index holds postings (document key, position) of test terms. Every window of an item is anchored at its two
-rarest terms by corpus frequency. Postings of the rarest term are shifted by its offset in the item, which gives
-the diagonal (document position minus item position) that the item would lie on; they are intersected with the
-shifted postings of the second-rarest term. The few diagonals left are checked word by word against the document,
-which yields the exact phrase matches. Proximity matches ask for both anchors within a distance, in any place.
-
-DataFrame functions only. Postings of hot terms meet anchors in joins that adaptive execution can split; no step
-pairs up the rows of a group.
+One pass over the texts stores the postings (document, term, position) of every test term, and each document's length as
+the posting of no term. Every window of an item is anchored at its two rarest terms by corpus frequency. Postings of the
+rarest term, shifted by its offset in the item, give the diagonal (document position minus item position) that the
+item would lie on. They are intersected with the shifted postings of the second-rarest term: where the two stand within
+``slop`` words of their distance in the item, the document holds a proximity match; where the distance is the same, the
+diagonal is intersected with the postings of all the item's words, and n in a row are an exact phrase match.
+
+DataFrame functions only. Documents are told apart by doc_id and a 64-bit hash of the text. Postings of hot terms meet
+anchors in joins that adaptive execution can split; no step pairs up the rows of a group.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from .common import row_key, small, table, written
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Columns that tell documents apart; ``g`` is doc_id, or 0 for none, and ``k`` a hash of doc_id and text.
+DOC = ["g", "k"]
 
 
 def words(text: Column) -> Column:
@@ -29,8 +32,14 @@ def words(text: Column) -> Column:
 
 
 def positional_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings (k, term, pos) of ``terms`` (column term) in ``docs`` (columns k, words); positions from 0."""
-    return docs.select("k", F.posexplode("words").alias("pos", "term")).join(small(terms), "term", "left_semi")
+    """Postings (doc_id, g, k, term, pos) of ``terms`` (term) in ``docs`` (doc_id, text), positions from 0.
+
+    Each row of ``docs`` has one posting without a term besides, whose position is the number of words.
+    """
+    d = docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).cast("long").alias("g"), row_key("doc_id", "text").alias("k"), words(F.col("text")).alias("w"))
+    every = d.select("doc_id", "g", "k", F.posexplode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("pos", "term"))
+    known = small(terms.withColumn("__known", F.lit(True)))
+    return every.join(known, "term", "left").filter("term IS NULL OR __known").select("doc_id", "g", "k", "term", "pos")
 
 
 def item_windows(items: DataFrame, length: int) -> DataFrame:
@@ -49,64 +58,73 @@ def anchors(windows: DataFrame, frequency: DataFrame) -> DataFrame:
     return ranked.select("i", *[x for j in (1, 2) for x in (F.try_element_at("r", F.lit(j))["term"].alias(f"t{j}"), (F.col("start") + F.try_element_at("r", F.lit(j))["o"]).alias(f"q{j}"))]).distinct()
 
 
-def prepare(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(documents with k and words, items with i and words, anchors, index of the anchors' terms)."""
-    d = docs.select("doc_id", "text", row_key("doc_id", "text").alias("k")).withColumn("words", words(F.col("text")))
-    it = written(items.select("item_id", row_key("item_id", "text").alias("i"), words(F.col("text")).alias("words")).dropDuplicates(["i"]), "items")
-    terms = written(it.select(F.explode("words").alias("term")).distinct(), "terms")
-    frequency = d.select(F.explode("words").alias("term")).join(small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("cf"))
-    a = written(anchors(item_windows(it, window), frequency), "anchors")
-    rare = a.select(F.col("t1").alias("term")).union(a.select("t2")).filter("term IS NOT NULL").distinct()
-    return d, it, a, written(positional_index(d, written(rare, "rare")), "postings")
+def prepare(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items with i and words, index of all their terms, anchors)."""
+    it = items.select("item_id", "text", words(F.col("text")).alias("words")).dropDuplicates(["item_id", "text"])
+    it = written(it.select("item_id", F.monotonically_increasing_id().alias("i"), "words"), "items")
+    index = written(positional_index(docs, it.select(F.explode("words").alias("term")).distinct()), "postings")
+    frequency = index.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("cf"))
+    return it, index, written(anchors(item_windows(it, window), frequency), "anchors")
 
 
-def diagonals(index: DataFrame, a: DataFrame, slop: int = 0) -> DataFrame:
-    """Distinct (k, i, d): shifted postings of both anchors agree on diagonal d, up to ``slop`` words apart."""
-    p1 = index.join(small(a), F.col("term") == F.col("t1")).select("k", "i", (F.col("pos") - F.col("q1")).alias("d"), "t2", "q2")
-    p2 = index.select(F.col("k").alias("k2"), F.col("term").alias("t"), F.col("pos").alias("pos2"))
-    if slop:
-        p1 = p1.withColumn("s", F.explode(F.sequence(F.lit(-slop), F.lit(slop)))).withColumn("want", F.col("d") + F.col("q2") + F.col("s"))
-    else:
-        p1 = p1.withColumn("want", F.col("d") + F.col("q2"))
-    both = p1.filter("t2 IS NOT NULL").join(p2, (F.col("k") == F.col("k2")) & (F.col("t2") == F.col("t")) & (F.col("want") == F.col("pos2")))
-    return both.select("k", "i", "d").union(p1.filter("t2 IS NULL").select("k", "i", "d")).distinct()
+def meetings(index: DataFrame, a: DataFrame, slop: int) -> DataFrame:
+    """Distinct (g, k, i, d, exact): both anchors stand within ``slop`` words of their distance; exact: at it, on diagonal d."""
+    rare = written(a.select(F.col("t1").alias("term")).union(a.select("t2")).filter("term IS NOT NULL").distinct(), "rare")
+    lists = index.join(small(rare), "term", "left_semi")
+    first = lists.join(small(a), F.col("term") == F.col("t1")).select(*DOC, "i", (F.col("pos") - F.col("q1")).alias("d"), "t2", (F.col("pos") - F.col("q1") + F.col("q2")).alias("want"))
+    # places within slop of one another share a bin, or lie in neighbouring ones
+    width = 2 * slop + 1
+    bins = F.array_distinct(F.transform(F.array(F.lit(-slop), F.lit(slop)), lambda x: F.floor((F.col("want") + x) / width)))
+    second = lists.select(*DOC, F.col("term").alias("t2"), F.col("pos").alias("pos2"), F.floor(F.col("pos") / width).alias("bin"))
+    both = first.filter("t2 IS NOT NULL").withColumn("bin", F.explode(bins)).join(second, [*DOC, "t2", "bin"]).filter(F.abs(F.col("want") - F.col("pos2")) <= slop)
+    both = both.select(*DOC, "i", "d", (F.col("want") == F.col("pos2")).alias("exact"))
+    # of proximity matches, one of an item in a document says it all
+    both = both.select(*DOC, "i", F.when(F.col("exact"), F.col("d")).alias("d"), "exact")
+    return both.unionByName(first.filter("t2 IS NULL").select(*DOC, "i", "d", F.lit(True).alias("exact"))).distinct()
 
 
-def phrase_matches(d: DataFrame, it: DataFrame, found: DataFrame, window: int) -> DataFrame:
-    """Exact matches (k, i, item_id, d, starts, n): the starts in the item whose windows of n words lie on d."""
-    found = written(found, "diagonals")
-    whole = d.join(small(found.select("k").distinct()), "k", "left_semi").select("k", "words").dropDuplicates(["k"])
-    c = found.join(whole, "k").join(it.select("i", "item_id", F.col("words").alias("item")), "i").withColumn("n", F.least(F.size("item"), F.lit(window)))
-    same = F.transform("item", lambda w, j: F.coalesce(F.get("words", F.col("d") + j) == w, F.lit(False)))
-    starts = F.filter(F.sequence(F.lit(0), F.size("item") - F.col("n")), lambda s: F.forall(F.slice("same", s + 1, F.col("n")), lambda x: x))
-    return c.withColumn("same", same).select("k", "i", "item_id", "d", "n", starts.alias("starts")).filter(F.size("starts") > 0)
+def phrase_matches(index: DataFrame, it: DataFrame, found: DataFrame, window: int) -> DataFrame:
+    """Exact matches (g, k, i, item_id, d, n, starts): the starts in the item whose windows of n words lie on diagonal d.
+
+    ``found`` has the diagonals (g, k, i, d). The words of the item are looked up at their places in the document.
+    """
+    n = F.least(F.size("words"), F.lit(window))
+    wanted = found.join(it, "i").select(*DOC, "i", "item_id", "d", n.alias("n"), F.posexplode("words").alias("j", "term")).withColumn("pos", F.col("d") + F.col("j"))
+    there = index.filter("term IS NOT NULL").join(small(written(found.select(*DOC).distinct(), "suspects")), DOC, "left_semi").select(*DOC, "term", "pos")
+    on = wanted.join(there, [*DOC, "term", "pos"]).groupBy(*DOC, "i", "item_id", "d", "n").agg(F.array_sort(F.collect_set("j")).alias("js"))
+    runs = F.filter(F.transform("js", lambda j, x: F.when(F.get("js", (x + F.col("n") - 1).cast("int")) == j + F.col("n") - 1, j)), lambda s: s.isNotNull())
+    return on.select(*DOC, "i", "item_id", "d", "n", runs.alias("starts")).filter(F.size("starts") > 0)
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 5) -> DataFrame:
     """Distinct (doc_id, item_id) where the two rarest terms of a window stand within ``slop`` words of the
     distance that they have in the item."""
-    d, it, a, index = prepare(docs, items, window)
-    pairs = diagonals(index, a, slop).select("k", "i").distinct()
-    return pairs.join(d.select("k", "doc_id"), "k").join(it.select("i", "item_id"), "i").select("doc_id", "item_id").distinct()
+    it, index, a = prepare(docs, items, window)
+    pairs = meetings(index, a, slop).select(*DOC, "i").distinct()
+    ids = index.filter("term IS NULL").select("doc_id", *DOC).distinct()
+    return pairs.join(ids, DOC).join(it.select("i", "item_id"), "i").select("doc_id", "item_id").distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """Per row of ``docs``: doc_id, k (row_key of doc_id and text), n_words, n_hit, n_items, items_sha256, contaminated.
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 5) -> DataFrame:
+    """Per row of ``docs``: doc_id, k (row_key of doc_id and text), n_words, n_hit, n_items, items_sha256, contaminated, n_near.
 
-    A word is hit if it lies in an occurrence of a window. Null and empty texts have no words; items without
-    words never occur. Rows with equal doc_id and text get equal results, one each. Other columns are ignored.
+    A word is hit if it lies in an occurrence of a window; n_items counts the items with such windows. n_near counts the
+    items with a proximity match (an exact one is one), which alone contaminates nothing. Null and empty texts have no words;
+    items without words never occur. Rows with equal doc_id and text get equal results, one each. Rows that share
+    only the doc_id are documents of their own. Other columns are ignored.
     """
-    d, it, a, index = prepare(docs, items, window)
-    m = phrase_matches(d, it, diagonals(index, a), window)
-    m = written(m, "matches")
-    places = m.select("k", F.explode(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("n") - 1))))).alias("j"), "d").select("k", (F.col("d") + F.col("j")).alias("p"))
-    hit = places.distinct().groupBy("k").agg(F.count("*").alias("n_hit"))
-    which = m.select("k", "i", F.col("item_id").cast("string").alias("s")).distinct().groupBy("k").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_set("s")), ","), 256).alias("items_sha256"))
-    per_doc = small(written(hit.join(which, "k"), "hits"))
+    it, index, a = prepare(docs, items, window)
+    met = written(meetings(index, a, slop), "meetings")
+    near = met.select(*DOC, "i").distinct().join(it.select("i", "item_id"), "i").groupBy(*DOC).agg(F.count_distinct(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("n_near"))
+    m = written(phrase_matches(index, it, met.filter("exact").select(*DOC, "i", "d"), window), "matches")
+    places = m.select(*DOC, F.explode(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("n") - 1))))).alias("j"), "d").select(*DOC, (F.col("d") + F.col("j")).alias("p"))
+    hit = places.distinct().groupBy(*DOC).agg(F.count("*").alias("n_hit"))
+    which = m.select(*DOC, "i", F.col("item_id").cast("string").alias("s")).distinct().groupBy(*DOC).agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_set("s")), ","), 256).alias("items_sha256"))
+    per_doc = small(written(near.join(hit.join(which, DOC), DOC, "full"), "hits"))
     return (
-        d.select("doc_id", "k", F.size("words").cast("long").alias("n_words"))
-        .join(per_doc, "k", "left")
-        .select("doc_id", "k", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+        index.filter("term IS NULL").select("doc_id", *DOC, F.col("pos").cast("long").alias("n_words"))
+        .join(per_doc, DOC, "left")
+        .select("doc_id", "k", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
     )
 
 
@@ -124,8 +142,17 @@ dw AS (SELECT doc_id, p, n, array_to_string(w[p + 1 : p + n], ' ') AS g FROM (
   SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS p FROM d, sizes WHERE len(w) >= n)),
 m AS (SELECT doc_id, p, dw.n, item_id FROM dw JOIN iw ON dw.g = iw.g AND dw.n = iw.n),
 h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM m) GROUP BY 1),
-i AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS sha FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY 1)
+i AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS sha FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY 1),
+t AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS p FROM d),
+cf AS (SELECT t, count(*) AS cf FROM t GROUP BY 1),
+ws AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS s FROM b WHERE len(w) > 0),
+wo AS (SELECT item_id, s, n, unnest(range(s, s + n)) AS q, unnest(w[s + 1 : s + n]) AS t FROM ws),
+wr AS (SELECT item_id, s, n, q, t, row_number() OVER (PARTITION BY item_id, s ORDER BY cf, q, t) AS r, count(*) OVER (PARTITION BY item_id, s) AS c FROM wo JOIN cf USING (t)),
+an AS (SELECT DISTINCT x.item_id, x.t AS t1, x.q AS q1, y.t AS t2, y.q AS q2 FROM wr x LEFT JOIN wr y ON y.item_id = x.item_id AND y.s = x.s AND y.r = 2 WHERE x.r = 1 AND x.c = x.n),
+nr AS (SELECT DISTINCT x.doc_id, item_id FROM an JOIN t x ON x.t = t1 JOIN t y ON y.doc_id = x.doc_id AND y.t = t2 WHERE abs((y.p - x.p) - (q2 - q1)) <= 5
+  UNION SELECT DISTINCT doc_id, item_id FROM an JOIN t ON t.t = t1 WHERE t2 IS NULL),
+nn AS (SELECT doc_id, count(*) AS n_near FROM nr GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  coalesce(sha, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+  coalesce(sha, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN nn USING (doc_id)
 """

@@ -497,6 +497,39 @@ def test_proximity(spark):
     assert 1 in got and 3 not in got and 4 not in got
 
 
+@pytest.mark.parametrize("slop", [0, 3, 5])
+def test_proximity_equals_brute_force(spark, slop):
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choice(VOCABULARY[:20]) for _ in range(rng.choice([1, 2, 6, 14])))) for i in range(12)]
+    docs = [(i, " ".join(rng.choice(VOCABULARY[:24]) for _ in range(rng.choice([3, 20, 60])))) for i in range(40)]
+    cf = Counter(w for _, t in docs for w in t.split())
+    want = set()
+    for item, t in items:
+        w = t.split()
+        n = min(10, len(w))
+        for s in range(len(w) - n + 1):
+            places = sorted((cf[x], s + o, x) for o, x in enumerate(w[s : s + n]))
+            if places[0][0] == 0:
+                continue
+            for d, text in docs:
+                x = text.split()
+                at = [[p for p, y in enumerate(x) if y == z] for _, _, z in places[:2]]
+                if n == 1 and at[0] or n > 1 and any(abs(q - p - (places[1][1] - places[0][1])) <= slop for p in at[0] for q in at[1]):
+                    want.add((d, item))
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(r) for r in decontaminate.proximity_matches(d, i, 10, slop).collect()} == want
+    near = Counter(d for d, _ in want)
+    assert {r["doc_id"]: r["n_near"] for r in decontaminate.contamination(d, i, 10, slop).collect()} == {d: near[d] for d, _ in docs}
+
+
+def test_contamination_of_clashing_columns_and_shared_ids(spark):
+    """Columns of the benchmark that clash, and rows that share a doc_id with different texts."""
+    items = spark.createDataFrame([(1, "one two three", 5, "x"), (2, "four five", 6, "y")], "item_id long, text string, doc_id long, words string")
+    docs = spark.createDataFrame([(7, "one two three", 1, "t"), (7, "four five six", 2, "t"), (7, "one two three", 3, "t"), (None, "four five", 4, "t")], "doc_id long, text string, pos long, term string")
+    out = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.contamination(docs, items).collect())
+    assert out == [(0, 2, 2, 1), (7, 3, 2, 1), (7, 3, 3, 1), (7, 3, 3, 1)]
+
+
 def test_contamination_odd(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "zz zz"), (1, None), (None, "a")], "item_id long, text string")
     out = decontaminate.contamination(odd_docs, items).collect()
