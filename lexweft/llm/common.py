@@ -105,6 +105,25 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in cols])
 
 
+def labelled_texts(docs: DataFrame, known: DataFrame, most_rows: int, most_bytes: int) -> pa.Table:
+    """(doc_id, y, text) by doc_id: a bounded sample of ``docs`` (doc_id, text) with the labels of ``known`` (doc_id, y).
+
+    One text a doc_id, the first of several. The first ``most_rows`` by a hash of doc_id are taken, and of them as many
+    as have ``most_bytes`` together, a text that does not fit any more being passed over.
+    """
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    first = known.select("doc_id", F.col("y").alias("__lw_y")).orderBy(*order).limit(most_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").groupBy("doc_id", "__lw_y").agg(F.min("text").alias("text"))  # most_rows rows
+    rows = written(rows, "sample")
+    taken, left = [], most_bytes
+    for r in rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy(*order).collect():  # most_rows rows
+        if r["n"] <= left:
+            taken.append(r["doc_id"])
+            left -= r["n"]
+    chosen = rows.sparkSession.createDataFrame([(i,) for i in taken], "doc_id long")
+    return rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", F.col("__lw_y").alias("y"), "text").toArrow().sort_by("doc_id")
+
+
 def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column end to end, and the offset of each row (null: empty)."""
     if isinstance(arr, pa.ChunkedArray):

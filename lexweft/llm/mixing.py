@@ -2,14 +2,16 @@
 
 A softmax classifier, fitted on a bounded sample of labelled rows, gives every document its posterior over the
 domains. Rates x >= 0 then make the expected tokens of each domain, sum of tokens * posterior * x, meet the targets
-in the least-squares sense. Projected gradient steps run over the whole table: a step is one aggregate of as many
-numbers as there are domains; the direction is scaled by the inverse of the domains' Gram matrix and each
-document's own length, so that a step without a bound at zero is exact. A document's rate is a fold over the steps
-so far, which only needs its posterior, so the table is never rewritten.
+in the least-squares sense. Projected gradient steps run over the whole table, with lazy projection: steps add up, and their sum is projected
+for each document, so that rates move no further from 1 than the targets need. A step is one aggregate of as many
+numbers as there are pairs of domains; the direction is scaled by the inverse of the Gram matrix of the documents that
+are not at zero and by each document's own length, so that a step without a new bound at zero is exact. A document's rate follows from its posterior and the sum of the
+steps, so the table is never rewritten.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,17 +20,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, U64, Words, byte_set, mix64, row_chunks, row_key, table, text_bytes, written
+from .common import SPACES, U64, Words, byte_set, labelled_texts, mix64, row_chunks, row_key, table, text_bytes, written
 
 #: Labelled rows that the classifier is fitted on at most, the first by a hash of doc_id.
 TRAIN_ROWS = 8000
+#: Bytes of text that these rows have at most.
+TRAIN_BYTES = 64 << 20
 BITS = 18
 HEAD = 4
 NOT_WORD = byte_set((0, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 #: Target shares of the domains, renormalised over those that occur.
 WEIGHTS = {"clean": 0.96, "toxic": 0.02, "low": 0.015, "low_toxic": 0.005}
-MOST_STEPS = 60
+#: Distance from the targets, as a share of the total, at which the steps end.
 TOLERANCE = 1e-6
+#: Steps over which the distance must halve; else the targets are out of reach.
+PATIENCE = 8
+#: Lengths of a step that a pass tries; 1 is exact if no document reaches or leaves zero.
+LENGTHS = (4.0, 2.0, 1.0, 0.4, 0.1)
 
 
 class Classifier(NamedTuple):
@@ -124,12 +132,11 @@ def posteriors(data: np.ndarray, off: np.ndarray, c: Classifier) -> tuple[np.nda
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Classifier:
-    """Fit on ``most`` labelled documents at most; rows with a null label are left out. No labels: one domain, all."""
+    """Fit on ``most`` labelled documents and ``TRAIN_BYTES`` of text at most; rows with a null label are left out. No labels: one domain, all."""
     known = labels.filter("quality IS NOT NULL AND toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     name = F.when((F.col("q") > 0) & (F.col("t") > 0), "toxic").when(F.col("q") > 0, "clean").when(F.col("t") > 0, "low_toxic").otherwise("low")
-    known = known.select("doc_id", name.alias("__lw_d")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "__lw_d").toArrow().sort_by("doc_id")
-    found = rows["__lw_d"].to_pylist()
+    rows = labelled_texts(docs, known.select("doc_id", name.alias("y")), most, TRAIN_BYTES)
+    found = rows["y"].to_pylist()
     names = sorted(set(found)) or ["all"]
     data, off = text_bytes(rows["text"]) if rows.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
     return fit(data, off, np.array([names.index(x) for x in found], np.int64), names)
@@ -149,50 +156,89 @@ def _labeller(shared):
 
 
 def _rate(steps: list[np.ndarray]) -> Column:
-    """A document's rate after ``steps``: from 1, each step goes down its posterior's share of the direction, to 0 at least."""
-    rate = F.lit(1.0)
+    """A document's rate after ``steps``: 1 less its posterior's share of their sum, projected to 0 or more."""
     if not steps:
-        return rate
-    every = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    dot = lambda g: F.aggregate(F.zip_with("posterior", g, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(every, rate, lambda x, g: F.greatest(F.lit(0.0), x - dot(g)))
+        return F.lit(1.0)
+    way = [float(x) for x in np.sum(steps, axis=0)]
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col("posterior")[i] * x for i, x in enumerate(way)), F.lit(0.0)))
+
+
+def _sums(members: DataFrame, trials: list[list[np.ndarray]], d: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each of ``trials`` (steps): expected tokens of each domain, the domains' Gram matrix over documents with a rate,
+    and half the squared change of the rates, weighted by tokens. One pass."""
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    term = lambda i: F.col("n_tokens") * F.col("posterior")[i]
+    rated = members.select("n_tokens", "posterior", *[_rate(steps).alias(f"x{t}") for t, steps in enumerate(trials)])
+    sums = []
+    for t in range(len(trials)):
+        x = F.col(f"x{t}")
+        sums += [F.sum(term(i) * x).alias(f"a{t}_{i}") for i in range(d)]
+        sums += [F.sum(F.when(x > 0, term(i) * F.col("posterior")[j])).alias(f"g{t}_{i}_{j}") for i, j in pairs]
+        sums.append((F.sum(F.col("n_tokens") * (x - 1) * (x - 1)) / 2).alias(f"c{t}"))
+    row = rated.agg(*sums).first()
+    out = []
+    for t in range(len(trials)):
+        gram = np.zeros((d, d))
+        for i, j in pairs:
+            gram[i, j] = gram[j, i] = row[f"g{t}_{i}_{j}"] or 0.0
+        out.append((np.array([row[f"a{t}_{i}"] or 0.0 for i in range(d)]), gram, row[f"c{t}"] or 0.0))
+    return out
+
+
+def targets(have: np.ndarray, names: list[str], weights: dict[str, float], total: float | None = None) -> np.ndarray:
+    """Tokens that each domain should have, from what there is (``have``).
+
+    ``total`` is their sum; a domain with a weight but without any tokens is an error then. By default the domain of
+    the largest weight sets it and stays whole; domains that have less than their share of it fall short with what there
+    is of them, instead of cutting the rest.
+    """
+    share = np.array([weights.get(n, 0.0) for n in names])
+    share = share / share.sum() if share.sum() > 0 else np.full(len(names), 1 / len(names))
+    if total is not None:
+        if missing := [n for n, s, h in zip(names, share, have, strict=True) if s > 0 and h <= 0]:
+            raise ValueError(f"no document can supply {', '.join(missing)}")
+        return share * total
+    leading = max((i for i in range(len(names)) if have[i] > 0), key=lambda i: (share[i], have[i]))
+    return np.minimum(share * (have[leading] / share[leading] if share[leading] > 0 else 0.0), have)
 
 
 def fit_rates(members: DataFrame, names: list[str], weights: dict[str, float], total: float | None = None) -> list[np.ndarray]:
-    """Steps whose fold gives the rates of ``members`` (n_tokens, posterior).
+    """Steps whose fold gives the rates of ``members`` (n_tokens, posterior); see ``targets``.
 
-    ``total`` is the sum of the targets in tokens. By default the domain of the largest weight sets it and stays whole;
-    domains that have less than their share of it fall short with what there is of them, instead of cutting the rest.
+    The gradient is what the domains have too much, scaled by the inverse Gram matrix of the documents that have a rate.
+    A pass tries some lengths and takes the one that most raises the dual objective, the change of the rates plus the sum
+    of the steps times the gradient; its top are the nonnegative rates nearest to 1 that meet the targets. The steps end
+    at ``TOLERANCE``, or where ``PATIENCE`` of them no longer halve the distance, since nonnegative rates cannot meet the
+    targets; then those that came closest count, and a warning says how far each domain is off.
     """
     d = len(names)
-    term = lambda i: F.col("n_tokens") * F.col("posterior")[i]
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    row = members.agg(*[F.sum(term(i)).alias(f"a{i}") for i in range(d)], *[F.sum(term(i) * F.col("posterior")[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
-    have = np.array([row[f"a{i}"] or 0.0 for i in range(d)])
-    gram = np.zeros((d, d))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] or 0.0
-    share = np.array([weights.get(n, 0.0) for n in names])
-    share = share / share.sum() if share.sum() > 0 else np.full(d, 1 / d)
-    if not have.sum():
+    now, gram, _ = _sums(members, [[]], d)[0]
+    if not now.sum():
         return []
-    if total is None:
-        leading = max((i for i in range(d) if have[i] > 0), key=lambda i: (share[i], have[i]))
-        total = have[leading] / share[leading] if share[leading] > 0 else 0.0
-        target = np.minimum(share * total, have)
-    else:
-        target = share * total
-    inverse = np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(d))
+    target = targets(now, names, weights, total)
+    size, ridge = max(target.sum(), 1e-12), 1e-9 * np.trace(gram) * np.eye(d)
     steps: list[np.ndarray] = []
-    now = have
-    for _ in range(MOST_STEPS):
-        gap = now - target
-        if np.abs(gap).max() <= TOLERANCE * total:
-            break
-        steps.append(inverse @ gap)
-        r = members.select("n_tokens", "posterior", _rate(steps).alias("x")).agg(*[F.sum(term(i) * F.col("x")).alias(f"a{i}") for i in range(d)]).first()
-        now = np.array([r[f"a{i}"] or 0.0 for i in range(d)])
-    return steps
+    off = [float(np.abs(now - target).max()) / size]
+    best = now, 0
+    while off[-1] > TOLERANCE and (len(off) <= PATIENCE or min(off[-PATIENCE:]) < 0.5 * min(off[:-PATIENCE])):
+        step = np.linalg.pinv(gram + ridge) @ (now - target)
+        found = _sums(members, [[*steps, x * step] for x in LENGTHS], d)
+        dual = [change + np.sum([*steps, x * step], axis=0) @ (tokens - target) for x, (tokens, _, change) in zip(LENGTHS, found, strict=True)]
+        take = int(np.argmax(dual))
+        steps.append(LENGTHS[take] * step)
+        now, gram, _ = found[take]
+        off.append(float(np.abs(now - target).max()) / size)
+        best = (now, len(steps)) if off[-1] == min(off) else best
+    if min(off) > TOLERANCE:
+        warnings.warn(f"targets are out of reach: {dict(zip(names, (best[0] - target).round(1).tolist(), strict=True))} tokens off", stacklevel=2)
+    return steps[: best[1]] if min(off) > TOLERANCE else steps
+
+
+def residuals(members: DataFrame, names: list[str], weights: dict[str, float], steps: list[np.ndarray], total: float | None = None) -> list[tuple[str, float, float, float]]:
+    """(domain, tokens there are, target, expected tokens under ``steps``) of each domain."""
+    (have, *_), (got, *_) = _sums(members, [[], steps], len(names))
+    want = targets(have, names, weights, total) if have.sum() else have
+    return list(zip(names, have.tolist(), want.tolist(), got.tolist(), strict=True))
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, total: float | None = None) -> DataFrame:

@@ -16,10 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, byte_set, mix64, row_chunks, table, text_bytes
+from .common import U64, Words, byte_set, labelled_texts, mix64, row_chunks, table, text_bytes
 
 #: Labelled rows that the model is fitted on at most, drawn by a hash of doc_id.
 TRAIN_ROWS = 8000
+#: Bytes of text that these rows have at most.
+TRAIN_BYTES = 64 << 20
+#: Probability from which a sentence counts as offending.
+OFFENDING = 0.5
 #: Bits of the word hash that pick a weight.
 BITS = 18
 #: Bytes of a word's head.
@@ -114,8 +118,19 @@ def fit(data: np.ndarray, off: np.ndarray, labels: np.ndarray, epochs: int = 150
     return Model(w.astype(np.float32), float(bias))
 
 
-def score_rows(data: np.ndarray, off: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(score of each row; best sentence's probability, start and end in bytes). A row without sentences counts as one empty one."""
+class Scores(NamedTuple):
+    """Score of each row; its best sentence's probability, start and end in bytes; and (row, start, end, probability) of
+    the offending sentences, in order."""
+
+    score: np.ndarray
+    best: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    offending: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def score_rows(data: np.ndarray, off: np.ndarray, model: Model) -> Scores:
+    """Scores of some rows. A row without sentences counts as one empty one."""
     n = len(off) - 1
     words, of, row, start = bags(data, off)
     z = _sentence_logits(words, of, len(row), model)
@@ -125,25 +140,24 @@ def score_rows(data: np.ndarray, off: np.ndarray, model: Model) -> tuple[np.ndar
     some = np.bincount(row, minlength=n) > 0
     log_not[~some] = np.log1p(-min(alone, 1 - 1e-9))
     best, at, end = np.full(n, alone), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    begin, stop = start - off[row], np.minimum(np.concatenate([start[1:], off[-1:]])[: len(row)], off[row + 1]) - off[row]
     if len(row):
         order = np.lexsort((start, -p, row))
         first = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])]
-        stop = np.concatenate([start[1:], [off[-1]]])
         r = row[first]
-        best[r], at[r], end[r] = p[first], start[first] - off[r], np.minimum(stop[first], off[r + 1]) - off[r]
-    return np.clip(-np.expm1(log_not), 0, 1), best, at, end
+        best[r], at[r], end[r] = p[first], begin[first], stop[first]
+    bad = np.flatnonzero(p >= OFFENDING)
+    return Scores(np.clip(-np.expm1(log_not), 0, 1), best, at, end, (row[bad], begin[bad], stop[bad], p[bad]))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
-    """Fit on ``most`` labelled documents at most, the first by a hash of doc_id; null labels are left out."""
-    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("__lw_y"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "__lw_y").toArrow()
-    rows = rows.sort_by("doc_id")
+    """Fit on ``most`` labelled documents and ``TRAIN_BYTES`` of text at most, the first by a hash of doc_id; null labels are left out."""
+    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    rows = labelled_texts(docs, known, most, TRAIN_BYTES)
     if not rows.num_rows:
         return fit(np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0))
     data, off = text_bytes(rows["text"])
-    return fit(data, off, rows["__lw_y"].to_numpy() > 0)
+    return fit(data, off, rows["y"].to_numpy() > 0)
 
 
 def _scorer(shared):
@@ -152,19 +166,23 @@ def _scorer(shared):
         for batch in batches:
             data, off = text_bytes(batch.column("text"))
             for a, b in row_chunks(off):
-                s, best, at, end = score_rows(data[off[a] : off[b]], off[a : b + 1] - off[a], model)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(s), pa.array(best), pa.array(at), pa.array(end)], names=["doc_id", "score", "worst_score", "worst_start", "worst_end"])
+                s = score_rows(data[off[a] : off[b]], off[a : b + 1] - off[a], model)
+                of, *spans = s.offending
+                bad = pa.StructArray.from_arrays([pa.array(x) for x in spans], names=["start", "end", "score"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(b - a + 1)), pa.int32()), bad)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *map(pa.array, s[:4]), lists], names=["doc_id", "score", "worst_score", "worst_start", "worst_end", "offending"])
 
     return score
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row of ``docs``: doc_id, score, and the probability and byte range of the worst sentence.
+    """Per row of ``docs``: doc_id, score, the probability and byte range of the worst sentence, and the byte ranges and
+    probabilities of all offending ones, those of ``OFFENDING`` or more.
 
     Only the text is read. A null or empty text counts as one empty sentence.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # 1 MB at any input
-    return docs.select("doc_id", "text").mapInArrow(_scorer(shared), "doc_id long, score double, worst_score double, worst_start long, worst_end long")
+    return docs.select("doc_id", "text").mapInArrow(_scorer(shared), "doc_id long, score double, worst_score double, worst_start long, worst_end long, offending array<struct<start: long, end: long, score: double>>")
 
 
 def held_out() -> Column:
@@ -176,4 +194,4 @@ def op7(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels").filter(~held_out()))
     scored = score_documents(docs, model)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_start", "worst_end")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_start", "worst_end", "offending")

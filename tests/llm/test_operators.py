@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexweft.llm import chunks, components, decontaminate, html, media, mixing, neardup, quality, sharding, toxicity, warc
-from lexweft.llm.common import text_bytes, words_of
+from lexweft.llm.common import mix64, text_bytes, words_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " ", "\n\t ", "a", "É", "a b", "x" * 30000, "word " * 3000, "a b c d e f g h i j k l", "\x00 \u0001", "𝔘nicode 😀 text"]
@@ -633,6 +633,46 @@ def test_toxicity_on_held_out_rows(spark):
             assert any(b in text[r["doc_id"]].encode()[r["worst_start"] : r["worst_end"]].decode() for b in bad)
 
 
+def test_every_offending_sentence_is_found(spark):
+    """Sentence by sentence from the definition: weights of the words and of the heads of longer words."""
+    import pyarrow as pa
+
+    docs, labels, bad = toxic_corpus(random.Random(4), 400)
+    docs += [(900, f"One {bad[0]} here. Nothing there. And {bad[1]} {bad[2]}! End"), (901, "Plain words. Only plain words.")]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(d, lab)
+    rows = {r["doc_id"]: r for r in toxicity.score_documents(d, model).collect()}
+
+    def probability(sentence):
+        z = model.bias
+        for w in re.findall(r"[a-z0-9\x80-\uffff]+", sentence.lower()):
+            for h in (words_of(*text_bytes(pa.array([w])), toxicity.NOT_WORD)[0], *([mix64(words_of(*text_bytes(pa.array([w[:4]])), toxicity.NOT_WORD)[0] + np.uint64(1))] if len(w) > 4 else [])):
+                z += model.weights[int(h[0] >> np.uint64(64 - toxicity.BITS))]
+        return 1 / (1 + np.exp(-z))
+
+    for i, text in [*docs[:60], *docs[-2:]]:
+        spans, at = [], 0
+        for piece in re.findall(r"[^.!?\n]*[.!?\n]|[^.!?\n]+$", text):
+            spans.append((at, at + len(piece), probability(piece)))
+            at += len(piece)
+        want = [(a, b, p) for a, b, p in spans if p >= toxicity.OFFENDING]
+        got = [tuple(x) for x in rows[i]["offending"]]
+        assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-5)
+        assert abs(rows[i]["score"] - (1 - np.prod([1 - min(p, 1 - 1e-9) for _, _, p in spans]))) < 1e-5
+    assert len(rows[900]["offending"]) == 2 and not rows[901]["offending"]
+
+
+def test_training_sample_is_bounded(spark):
+    from lexweft.llm.common import labelled_texts
+
+    docs = spark.createDataFrame([(i % 30, f"text {i} " * 10) for i in range(300)] + [(99, "x" * 50000), (None, "n")], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(99, 1)], "doc_id long, y int")
+    t = labelled_texts(docs, known, 20, 1000)
+    ids = t["doc_id"].to_pylist()
+    assert len(ids) == len(set(ids)) <= 20 and 99 not in ids and sum(len(x) for x in t["text"].to_pylist()) <= 1000
+    assert labelled_texts(docs, known, 50, 10**6).num_rows == 31 and labelled_texts(docs, known.limit(0), 5, 5).num_rows == 0
+
+
 def test_toxicity_odd(spark, odd_docs, no_docs):
     for labels in (no_labels(spark), spark.createDataFrame([(1, 1, 1), (4, 1, 0), (None, 0, 1), (8, 1, None)], "doc_id long, quality int, toxic int")):
         model = toxicity.train(odd_docs, labels)
@@ -658,6 +698,35 @@ def test_rates_meet_targets(spark):
     assert (rate >= 0).all() and np.allclose(got / got.sum(), [0.7, 0.2, 0.1], atol=1e-4)
 
 
+@pytest.mark.parametrize(("weights", "reachable"), [({"a": 0.9, "b": 0.08, "c": 0.02}, True), ({"a": 1.0}, False)])
+def test_rates_equal_brute_force(spark, weights, reachable):
+    """The nonnegative rates nearest to 1 that meet the targets, as very many small steps find them; a warning if none do."""
+    import warnings
+
+    rng = np.random.default_rng(4)
+    p, t = rng.dirichlet([0.3, 0.3, 0.3], 200), rng.integers(1, 400, 200)
+    m = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(t, p, strict=True)], "n_tokens long, posterior array<double>").cache()
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        steps = mixing.fit_rates(m, list("abc"), weights)
+    rows = mixing.residuals(m, list("abc"), weights, steps)
+    have, want, got = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
+    assert bool([w for w in said if "out of reach" in str(w.message)]) != reachable
+    assert np.abs(got - want).max() <= (1e-6 * want.sum() if reachable else 0.5 * np.abs(have - want).max())
+    if reachable:  # the optimum's conditions: steps that add up, and no rate but those at zero off the line
+        rate = np.array([r["x"] for r in m.select(mixing._rate(steps).alias("x")).collect()])
+        line = np.linalg.lstsq(p[rate > 0], 1 - rate[rate > 0], rcond=None)[0]
+        assert np.allclose(rate, np.maximum(0, 1 - p @ line), atol=1e-6)
+
+
+def test_targets_without_documents(spark):
+    m = spark.createDataFrame([(100, [1.0, 0.0]), (100, [1.0, 0.0]), (0, [0.0, 1.0])], "n_tokens long, posterior array<double>")
+    with pytest.raises(ValueError, match="rare"):
+        mixing.fit_rates(m, ["common", "rare"], {"common": 0.5, "rare": 0.5}, 100.0)
+    steps = mixing.fit_rates(m, ["common", "rare"], {"common": 0.5, "rare": 0.5})
+    assert [r["x"] for r in m.select(mixing._rate(steps).alias("x")).collect()] == [1.0, 1.0, 1.0]
+
+
 def test_scarce_domains_do_not_cut_the_rest(spark):
     """Almost no junk is left: clean documents stay, a plentiful domain is cut to its share, the scarce one falls short."""
     rows = [(100, [0.999, 0.0005, 0.0005])] * 300 + [(100, [0.01, 0.98, 0.01])] * 40 + [(100, [0.05, 0.05, 0.9])]
