@@ -1,19 +1,21 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text, one per language.
 
 Symbols are UTF-8 bytes and the order is 5, so that every script is covered without a vocabulary. All trusted
-documents (label quality 1) but a held-out fifth train it. Counts are tables sharded by n-gram: highest-order
+documents (label quality 1) but a held-out part train it. Counts are tables sharded by n-gram: highest-order
 counts are summed, lower orders count the distinct left extensions, contexts give totals, and the orders meet in
 joins on the shared part. The result is a table of log-probabilities of seen n-grams and of backoff weights.
 
-Scoring sends that table to the documents in shards of at most ``SHARD_ROWS`` rows, cut by the two bytes before
-the last one, which an n-gram and all that it backs off to have in common (orders 1 and 2, bounded by the
-alphabet, go along with each shard). Each document sums the log-probabilities of the positions that belong to the
-shard; the sums over the shards give its perplexity. One shard or a thousand, the result is the same.
+Scoring joins that table with the documents shard by shard. A shard has at most ``SHARD_ROWS`` rows, cut by the two
+bytes before the last one, which an n-gram and all that it backs off to have in common (orders 1 and 2, bounded by
+the alphabet, go along with each shard). One shard at a time is sent to the documents, and what its positions add to each
+document's sum is written before the next one; the sums give the perplexity. One shard or a thousand, the result
+is the same, and no more than one is ever on the driver.
 
 A document is rejected if its perplexity is above its language's threshold: a quantile over the held-out trusted
-documents of that language. A language with few of them holds out each fifth of its trusted documents in turn,
-under models of the other four; its threshold is the mean of their log-perplexities and the quantile of the distance
-from the mean, pooled over all languages. Only a language without trusted documents has no threshold.
+documents of that language, a fifth of them and a few more. Its distance from their mean (of log-perplexities) is
+drawn towards that of all languages together, as if ``PRIOR`` documents had shown the latter; so a language with few
+trusted documents has a threshold as well. Only a language without a model has none: one with a single trusted
+document, or none.
 """
 
 from __future__ import annotations
@@ -33,18 +35,20 @@ ORDER = 5
 SHARD_ROWS = 3_000_000
 #: Share of held-out trusted documents that the threshold of a language lets through.
 QUANTILE = 0.99
-#: Held-out trusted documents without which a language is cross-validated and shares the spread of all languages.
-LEAST_HELD_OUT = 20
-#: Parts of the trusted documents; the first is held out of the models that score documents.
+#: Documents that the spread of all languages weighs against a language's own held-out ones.
+PRIOR = 100
+#: One in this many trusted documents is held out,
 FOLDS = 5
+#: and besides the first of each language, this many or a third.
+LEAST_HELD_OUT = 5
 #: Byte that stands before a document's first; the others of a context there are 0.
 PAD = ORDER - 1
 
 
 def language() -> Column:
-    """Two lower-case letters, or und: at most 677 languages, whatever the column holds."""
-    low = F.lower(F.substring(F.coalesce(F.col("lang"), F.lit("")), 1, 2))
-    return F.when(low.rlike("^[a-z]{2}$"), low).otherwise(F.lit("und"))
+    """The whole language tag in lower case; und for none."""
+    low = F.lower(F.trim(F.coalesce(F.col("lang"), F.lit(""))))
+    return F.when(low == "", F.lit("und")).otherwise(low)
 
 
 def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,11 +109,20 @@ def discounts(n: dict[int, int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), i + 0.95) for i, x in enumerate(d))  # type: ignore[return-value]
 
 
+def _discount_columns(orders: DataFrame) -> DataFrame:
+    """(lang, d1, d2, d3): ``discounts`` of each language's n-grams ``orders`` (lang, c)."""
+    n = orders.groupBy("lang").agg(*[F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    seen = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
+    d = lambda i, other: F.when(seen, F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0.0)), F.lit(0.05)), F.lit(i - 1 + 0.95))).otherwise(other)
+    return n.select("lang", d(1, 0.5).alias("d1"), d(2, 0.75).alias("d2"), d(3, 0.9).alias("d3"))
+
+
 def model_tables(counts: DataFrame) -> DataFrame:
     """(lang, kind, n, g, v) from ``counts`` (lang, g, c) of order ORDER.
 
     kind p: the log-probability of the n-gram g of order n given what stands before its last byte; kind b: the log
-    of the backoff weight of the context g of n bytes. Nothing is collected but the counts of counts.
+    of the backoff weight of the context g of n bytes. Nothing is collected.
     """
     orders = {ORDER: counts}
     for n in range(ORDER - 1, 0, -1):
@@ -118,15 +131,9 @@ def model_tables(counts: DataFrame) -> DataFrame:
     lower: DataFrame | None = None
     out = []
     for n in range(1, ORDER + 1):
-        t = orders[n]
-        seen: dict[str, dict[int, int]] = {}
-        for r in t.filter("c <= 4").groupBy("lang", "c").count().collect():  # four rows a language
-            seen.setdefault(r["lang"], {})[r["c"]] = r["count"]
-        rows = [f"named_struct('lang', '{k}', 'd1', {d[0]!r}D, 'd2', {d[1]!r}D, 'd3', {d[2]!r}D)" for k, v in seen.items() for d in [discounts(v)]]
-        d = t.sparkSession.sql(f"SELECT inline(array({', '.join(rows or [NO_DISCOUNT])}))")
         ctx = Window.partitionBy("lang", "h")
-        disc = F.when(F.col("c") == 1, F.coalesce("d1", F.lit(0.5))).when(F.col("c") == 2, F.coalesce("d2", F.lit(0.75))).otherwise(F.coalesce("d3", F.lit(0.9)))
-        t = t.join(F.broadcast(d), "lang", "left").withColumn("h", F.shiftright("g", 8)).withColumn("disc", disc)  # 677 languages at most
+        disc = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        t = orders[n].join(small(written(_discount_columns(orders[n]), "discounts")), "lang").withColumn("h", F.shiftright("g", 8)).withColumn("disc", disc)
         t = t.withColumn("total", F.sum("c").over(ctx)).withColumn("gamma", F.sum("disc").over(ctx) / F.col("total"))
         t = t.withColumn("alpha", (F.col("c") - F.col("disc")) / F.col("total"))
         if lower is None:
@@ -144,10 +151,6 @@ def model_tables(counts: DataFrame) -> DataFrame:
     return every
 
 
-#: An empty table of discounts.
-NO_DISCOUNT = "named_struct('lang', '', 'd1', 0.5D, 'd2', 0.75D, 'd3', 0.9D)"
-
-
 class Lookup:
     """64-bit keys to floats by open addressing: keys in the order of their hashed places, so that a search ends early."""
 
@@ -215,42 +218,42 @@ def score_chunk(data: np.ndarray, off: np.ndarray, lang: np.ndarray, look: Looku
 
 def _scorer(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values, names, mine = shared.value
+        keys, values, mine = shared.value
         look = Lookup(keys, values)
-        number = {x: i for i, x in enumerate(names)}
         for batch in batches:
-            lang = np.array([number.get(x, len(names)) for x in batch.column("lang").to_pylist()], np.int64)
+            lang = batch.column("l").to_numpy()
             data, off = text_bytes(batch.column("text"))
             for a, b in row_chunks(off):
                 s, c = score_chunk(data[off[a] : off[b]], off[a : b + 1] - off[a], lang[a:b], look, mine)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("lang").slice(a, b - a), batch.column("k").slice(a, b - a), pa.array(s), pa.array(c.astype(np.int64))], names=["doc_id", "lang", "k", "s", "c"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(a, b - a) for x in ("doc_id", "lang", "k")), pa.array(s), pa.array(c.astype(np.int64))], names=["doc_id", "lang", "k", "s", "c"])
 
     return score
 
 
 def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """(doc_id, lang, k, s, c) of ``docs`` (doc_id, lang, k, text): log-probability and symbols, summed over the shards."""
+    """(doc_id, lang, k, s, c) of ``docs`` (doc_id, lang, k, text) in the model's languages: sums of log-probabilities, symbols."""
     spark = docs.sparkSession
-    names = [r["lang"] for r in model.select("lang").distinct().orderBy("lang").collect()]  # 677 at most
-    rows = model.count()
-    shards = max(1, -(-rows // SHARD_ROWS))
+    langs = written(model.select("lang").distinct().withColumn("l", F.row_number().over(Window.orderBy("lang")) - 1), "languages")  # a row for each language
+    kind = F.col("n") * 2 + (F.col("kind") == "b").cast("int")
+    key = F.col("g").bitwiseOR(F.shiftleft(kind.cast("long"), 40)).bitwiseOR(F.shiftleft(F.col("l").cast("long"), 44))
     middle = F.when((F.col("kind") == "p") & (F.col("n") >= 3), F.shiftright("g", 8).bitwiseAND(F.lit(0xFFFF).cast("long"))).when((F.col("kind") == "b") & (F.col("n") >= 2), F.col("g").bitwiseAND(F.lit(0xFFFF).cast("long")))
+    model = written(model.join(small(langs), "lang").select(key.alias("key"), F.col("v").cast("float").alias("v"), middle.cast("int").alias("m")), "model")
+    shards = max(1, -(-model.count() // SHARD_ROWS))
     deal = (mix64(np.arange(1 << 16).astype(U64)) % U64(shards)).astype(np.int64)
-    number = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]) if names else F.lit(None).cast("map<string,int>")
+    d = docs.join(small(langs), "lang").select("doc_id", "lang", "k", "l", "text")
     parts = []
     for i in range(shards):
-        part = model if shards == 1 else model.withColumn("__m", middle).filter(F.col("__m").isNull() | F.col("__m").isin([int(x) for x in np.flatnonzero(deal == i)]))
-        t = part.select("kind", "n", number[F.col("lang")].alias("l"), "g", "v").toArrow()
-        kind = t["kind"].to_numpy() == "b"
-        n, lang, g = (t[c].to_numpy().astype(U64) for c in ("n", "l", "g"))
-        keys = g | ((n * U64(2) + kind.astype(U64)) << U64(40)) | (lang << U64(44))
-        shared = spark.sparkContext.broadcast((keys, t["v"].to_numpy().astype(np.float32), names, None if shards == 1 else deal == i))  # SHARD_ROWS rows, more or less
-        parts.append(docs.select("doc_id", "lang", "k", "text").mapInArrow(_scorer(shared), "doc_id long, lang string, k long, s double, c long").withColumn("shard", F.lit(i)))
+        of_shard = model if shards == 1 else model.join(F.broadcast(spark.createDataFrame([(int(x),) for x in np.flatnonzero(deal == i)], "m int")), "m", "left_semi").unionByName(model.filter("m IS NULL"))  # 65536 numbers at most
+        t = of_shard.select("key", "v").toArrow()  # SHARD_ROWS rows, more or less
+        shared = spark.sparkContext.broadcast((t["key"].to_numpy().view(U64), t["v"].to_numpy(), None if shards == 1 else deal == i))
+        del t
+        parts.append(written(d.mapInArrow(_scorer(shared), "doc_id long, lang string, k long, s double, c long"), "sums"))
+        shared.destroy()
     if len(parts) == 1:
-        return parts[0].drop("shard")
-    every = parts[0]
-    for x in parts[1:]:
-        every = every.unionByName(x)
+        return parts[0]
+    every = parts[0].withColumn("shard", F.lit(0))
+    for i, x in enumerate(parts[1:], 1):
+        every = every.unionByName(x.withColumn("shard", F.lit(i)))
     # repeated rows have equal sums: one of each shard, and as many rows as before
     one = every.groupBy("doc_id", "lang", "k", "shard").agg(F.first("s").alias("s"), F.first("c").alias("c"), F.count("*").alias("n")).groupBy("doc_id", "lang", "k").agg(F.sum("s").alias("s"), F.sum("c").alias("c"), F.max("n").alias("n"))
     return one.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
@@ -259,47 +262,44 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, lang): doc_id, k (row_key of doc_id and text), lang (as modelled), n_symbols, perplexity, threshold, keep.
 
-    Trusted are the documents that all their labels call quality 1; a fifth of them, by crc32 of doc_id, is held
-    out of the training and sets the thresholds; languages with fewer than ``LEAST_HELD_OUT`` such documents hold out
-    each fifth in turn. A text without symbols (null or empty) has no perplexity and is kept, as is every document
-    of a language without trusted documents. Repeated rows are scored one by one.
+    Trusted are the documents that all their labels call quality 1. A fifth of them, by crc32 of doc_id, and of each
+    language the first ``LEAST_HELD_OUT`` (a third at most) are held out of the training and set the threshold. A text without symbols
+    (null or empty) has no perplexity and is kept; in a language without a model no document has one, and all are kept.
+    Repeated rows are scored one by one. Rows that share a doc_id share its labels.
     """
     d = docs.select("doc_id", language().alias("lang"), "text", row_key("doc_id", "text").alias("k"))
-    fold = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS).cast("int")
-    trusted = written(labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id", fold.alias("fold")), "trusted")
-    known = d.filter("text <> ''").join(small(trusted), "doc_id")
-    # 677 languages at most
-    few = [r["lang"] for r in known.groupBy("lang").agg(F.sum((F.col("fold") == 0).cast("int")).alias("n")).filter(f"n < {LEAST_HELD_OUT}").collect()]
-    in_turn = known.filter(F.col("lang").isin(few)).select("doc_id", "lang", "k", "text", "fold")
-    # the models of a fold go under the names of their own: language#fold
-    others = in_turn.withColumn("f", F.explode(F.array(*map(F.lit, range(1, FOLDS))))).filter("fold <> f").select(F.concat("lang", F.lit("#"), "f").alias("lang"), "text")
-    train = d.join(small(trusted.filter("fold <> 0")), "doc_id", "left_semi").select("lang", "text").unionByName(others)
+    trusted = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
+    known = written(d.filter("text <> ''").select("doc_id", "lang").join(small(written(trusted, "trusted")), "doc_id").distinct(), "known")
+    # of each language the first few; the limit on row_number is applied before rows are shuffled
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ranked = known.withColumn("r", F.row_number().over(order)).filter(f"r <= {LEAST_HELD_OUT}")
+    size = known.groupBy("lang").agg(F.count("*").alias("n"))
+    first = ranked.join(small(written(size, "sizes")), "lang").filter("n > 1 AND r <= greatest(1, n div 3)").select("doc_id", F.lit(True).alias("first")).distinct()
+    fifth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0
+    known = written(known.select("doc_id").distinct().join(small(written(first, "firsts")), "doc_id", "left").select("doc_id", (fifth | F.coalesce("first", F.lit(False))).alias("held")), "known")
+    train = d.join(small(known.filter("NOT held")), "doc_id", "left_semi").filter("text <> ''").select("lang", "text")
     counts = written(train.mapInArrow(_counter, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c")), f"order{ORDER}")
-    model = model_tables(counts)
-    folded = F.col("lang").contains("#")
-    scored = written(perplexities(d, model.filter(~folded)).withColumn("perplexity", F.when(F.col("c") > 0, F.exp(-F.col("s") / F.col("c")))), "scored")
-    held = scored.filter("perplexity IS NOT NULL").join(trusted.filter("fold = 0"), "doc_id", "left_semi").select("lang", F.col("lang").alias("model"), "perplexity")
-    if few:
-        turns = in_turn.filter("fold <> 0").withColumn("lang", F.concat("lang", F.lit("#"), "fold"))
-        found = perplexities(turns, model.filter(folded)).filter("c > 0")
-        held = held.unionByName(found.select(F.substring_index("lang", "#", 1).alias("lang"), F.col("lang").alias("model"), F.exp(-F.col("s") / F.col("c")).alias("perplexity")))
-    # perplexities under a model without text say nothing
-    held = written(held.join(F.broadcast(counts.select(F.col("lang").alias("model")).distinct()), "model", "left_semi"), "held")
-    limit = scored.sparkSession.createDataFrame(_thresholds(held, few, quantile), "lang string, threshold double")
-    return scored.join(F.broadcast(limit), "lang", "left").select("doc_id", "k", "lang", F.col("c").alias("n_symbols"), "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
-
-
-def _thresholds(held: DataFrame, few: list[str], quantile: float) -> list[tuple[str, float | None]]:
-    """(language, threshold) from the perplexities of held-out documents, ``held`` (lang, perplexity); None where no two can be compared."""
-    # rounded, so that the exact quantiles keep a bounded number of values
-    own = held.groupBy("lang").agg(F.expr(f"percentile(round(perplexity, 3), {quantile!r}D)").alias("own"), F.avg(F.log("perplexity")).alias("mean"), F.count("*").alias("n"))
+    # log-perplexities are rounded, so that exact quantiles keep a bounded number of values
+    scored = perplexities(d, model_tables(counts)).withColumn("level", F.when(F.col("c") > 0, F.round(-F.col("s") / F.col("c"), 4)))
+    limit = small(written(_limits(scored.filter("level IS NOT NULL").join(small(known.filter("held")), "doc_id", "left_semi").select("lang", "level"), quantile), "limits"))
+    judged = scored.join(limit, "lang", "left").select("doc_id", "k", "lang", F.col("c").alias("n_symbols"), F.when(F.col("c") > 0, F.exp(-F.col("s") / F.col("c"))).alias("perplexity"), F.exp("limit").alias("threshold"), F.coalesce(F.col("level") <= F.col("limit"), F.lit(True)).alias("keep"))
+    modelled = small(written(counts.select("lang").distinct(), "modelled"))
+    none = F.lit(None).cast("double")
+    rest = d.join(modelled, "lang", "left_anti").select("doc_id", "k", "lang", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_symbols"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("keep"))
+    return judged.unionByName(rest)
+
+
+def _limits(held: DataFrame, quantile: float) -> DataFrame:
+    """(lang, limit) from the log-perplexities of held-out documents, ``held`` (lang, level); null where no two can be compared."""
+    own = held.groupBy("lang").agg(F.expr(f"percentile(level, {quantile!r}D)").alias("own"), F.avg("level").alias("mean"), F.count("*").alias("n"))
     # distances from a mean of n documents are too small by sqrt(1 - 1/n), those of new documents larger by sqrt(1 + 1/n)
-    away = held.join(F.broadcast(own), "lang").filter("n > 1").select("lang", F.expr("round((ln(perplexity) - mean) / sqrt(1 - 1D / n), 4)").alias("r"))
-    far, n, langs = away.agg(F.expr(f"percentile(r, {quantile!r}D)"), F.count("*"), F.countDistinct("lang")).first() if few else (None, 0, 0)
+    away = held.join(small(own), "lang").filter("n > 1").select("lang", F.expr("round((level - mean) / sqrt(1 - 1D / n), 4)").alias("r"))
+    every = away.agg(F.expr(f"percentile(r, {quantile!r}D)").alias("far"), (F.count("*") - F.count_distinct("lang")).alias("free"))
     # a quantile of a few distances is too small, as a normal one is against Student's (its expansion)
-    z, free = NormalDist().inv_cdf(quantile), max(1, n - langs)
-    far = None if far is None else max(far, 0.0) * (1 + (z**2 + 1) / (4 * free) + (5 * z**4 + 16 * z**2 + 3) / (96 * free**2))
-    return [(r["lang"], (None if far is None else float(np.exp(r["mean"] + far * np.sqrt(1 + 1 / r["n"])))) if r["lang"] in few else r["own"]) for r in own.collect()]
+    z = NormalDist().inv_cdf(quantile)
+    far = F.greatest("far", F.lit(0.0)) * (1 + (z**2 + 1) / (4 * F.greatest("free", F.lit(1))) + (5 * z**4 + 16 * z**2 + 3) / (96 * F.greatest("free", F.lit(1)) ** 2))
+    wide = own.join(F.broadcast(every.select(far.alias("far"))))  # one row
+    return wide.select("lang", (F.col("mean") + (F.col("n") * (F.col("own") - F.col("mean")) + PRIOR * F.col("far") * F.sqrt(1 + 1 / F.col("n"))) / (F.col("n") + PRIOR)).alias("limit"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -135,7 +135,7 @@ def test_perplexity_equals_definition(spark, monkeypatch):
     for i, t in enumerate(texts):
         b = bytes(quality.ORDER - 1) + t.encode()
         want[i] = sum(np.log(p(b[j : j + quality.ORDER])) for j in range(len(t.encode())))
-    for rows in (10**9, 40):  # one shard, then many
+    for rows in (10**9, 150):  # one shard, then many
         monkeypatch.setattr(quality, "SHARD_ROWS", rows)
         got = {r["doc_id"]: r["s"] for r in quality.perplexities(docs, model).collect()}
         assert got.keys() == want.keys()
@@ -174,6 +174,27 @@ def test_quality_judges_small_languages(spark):
     assert [r["keep"] for r in out if r["lang"] == "pl"] == [True]
 
 
+def test_quality_of_five_held_out_documents_and_whole_tags(spark):
+    """A language with 25 trusted documents rejects junk; fil and fi, pt-BR and pt are languages of their own."""
+    rng = random.Random(7)
+    docs, labels = [], []
+    for n, (lang, tag) in enumerate((("fi", "FI"), ("fil", " fil "), ("pt", "pt"), ("pt-br", "pt-BR"))):
+        other = lambda m, n=n: "".join(chr(97 + (ord(c) - 97 + 3 * n) % 26) if c.isalpha() else c for c in sentence(rng, m))
+        docs += [(1000 * n + i, other(60) + ".", tag) for i in range(60)]
+        docs += [(1000 * n + 500 + i, " ".join(w.upper() + "!!%%" for w in other(60).split()), tag) for i in range(5)]
+        docs += [(1000 * n + 600 + i, "word " * 7000 + other(20), tag) for i in range(1)]
+        labels += [(1000 * n + i, 1, 0) for i in range(25)]
+    docs += [(9000, "a lone trusted document", "is"), (9001, "another text", "is"), (9001, "the same id", "xx")]
+    labels.append((9000, 1, 0))
+    d = spark.createDataFrame([(*x, "y") for x in docs], "doc_id long, text string, lang string, level string").withColumn("s", F.lit(1)).withColumn("l", F.lit("z"))
+    lab = spark.createDataFrame([(*x, "t") for x in labels], "doc_id long, quality int, toxic int, lang string")
+    out = quality.quality(d, lab).collect()
+    assert len(out) == len(docs) and {r["lang"] for r in out} == {"fi", "fil", "pt", "pt-br", "is", "xx"}
+    assert not any(r["keep"] for r in out if 500 <= r["doc_id"] % 1000 < 600)
+    assert all(sum(r["keep"] for r in out if r["lang"] == x and r["doc_id"] % 1000 < 500) >= 55 for x in ("fi", "fil", "pt", "pt-br"))
+    assert all(r["keep"] and r["threshold"] is None for r in out if r["doc_id"] >= 9000)
+
+
 def test_quality_odd(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(4, 1, 0), (9, 1, None), (None, 1, 1), (8, None, 0), (8, 0, 1)], "doc_id long, quality int, toxic int")
     assert quality.quality(odd_docs, labels).filter("keep").count() == odd_docs.count()
