@@ -17,10 +17,12 @@ marked by words, the slots that vary are content.
 
 from __future__ import annotations
 
+import bisect
 import html
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,12 +47,16 @@ BOILERPLATE_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer header masthead related recommended share sharing social newsletter subscribe subscription login signup search pagination pager widget toolbar contentinfo complementary".split()
 )
 MAIN_WORDS = frozenset("main article articlebody article-body post-content entry-content".split())
-#: Deeper elements are read but not recorded in a wrapper.
-MOST_DEPTH = 60
-#: Pages of a host from which a constant text counts as template.
+#: Texts in deeper elements have no slot in a wrapper, so they are content unless they are marked as boilerplate.
+MOST_DEPTH = 200
+#: Pages that show a constant text a template: two pages of a host may share a sentence by chance or by copying.
 TEMPLATE_PAGES = 3
-#: Structures that one task aligns at a time.
+#: Share of a page's unmarked varying text that its main containers must hold to be all of the content.
+CONTAINER_SHARE = 0.2
+#: Structures that one task aligns at a time; the wrapper is the same kind of expression at any number.
 GROUP = 64
+#: Pairs up to which sequences are aligned by their longest common subsequence; longer ones are cut at landmarks first.
+TABLE = 1 << 18
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?](?:[^>]*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -179,28 +185,96 @@ def _append(parent: Node, node: Node) -> None:
         children.append(node)
 
 
-def align(a: list, b: list) -> list:
-    """One sequence that matches both: matched parts aligned in turn, the others optional, neighbours folded."""
-    if a == b:
-        return a
-    name = lambda x: x if x == "#" else x[0]
-    x, y = [name(i) for i in a], [name(i) for i in b]
+def _common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, by the table of all pairs."""
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-    out: list = []
-    i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            out.append("#" if x[i] == "#" else [x[i], align(a[i][1], b[j][1]), a[i][2] or b[j][2], a[i][3] or b[j][3]])
+    out, i, j = [], 0, 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
-            out.append("#" if x[i] == "#" else [x[i], a[i][1], a[i][2], True])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append("#" if y[j] == "#" else [y[j], b[j][1], b[j][2], True])
             j += 1
+    return out
+
+
+def _landmarks(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of the names that stand once in both, as many as are in the same order; else each at its next free place."""
+    once = [{n for n, c in Counter(z).items() if c == 1} for z in (x, y)]
+    at = {n: j for j, n in enumerate(y)}
+    pairs = [(i, at[n]) for i, n in enumerate(x) if n in once[0] and n in once[1]]
+    if not pairs:
+        places: dict[str, list[int]] = {}
+        for j, n in enumerate(y):
+            places.setdefault(n, []).append(j)
+        out, j = [], 0
+        for i, n in enumerate(x):
+            if (where := places.get(n)) and (k := bisect.bisect_left(where, j)) < len(where):
+                out.append((i, where[k]))
+                j = where[k] + 1
+        return out
+    tails: list[int] = []
+    back: list[tuple[int, int]] = []  # (pair at the tail, place in back of the one before)
+    ends: list[int] = []
+    for p, (_, j) in enumerate(pairs):
+        k = bisect.bisect_left(tails, j)
+        back.append((p, ends[k - 1] if k else -1))
+        tails[k : k + 1] = [j]
+        ends[k : k + 1] = [len(back) - 1]
+    out, k = [], ends[-1]
+    while k >= 0:
+        p, k = back[k]
+        out.append(pairs[p])
+    return out[::-1]
+
+
+def paired(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of equal names in the same order in both; memory grows with the lengths, not with their product.
+
+    Equal ends are paired first. What is left is cut at landmarks until a table of ``TABLE`` pairs holds a part.
+    """
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and x[a] == y[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and x[b - 1] == y[d - 1]:
+            b, d = b - 1, d - 1
+            out.append((b, d))
+        if a == b or c == d:
+            continue
+        if (b - a) * (d - c) <= TABLE:
+            out += [(a + i, c + j) for i, j in _common(x[a:b], y[c:d])]
+            continue
+        marks = [(a + i, c + j) for i, j in _landmarks(x[a:b], y[c:d])]
+        out += marks
+        # gaps between landmarks; without any there is nothing to pair
+        for (i, j), (k, m) in zip([(a - 1, c - 1), *marks], [*marks, (b, d)], strict=True) if marks else ():
+            if k - i > 1 and m - j > 1:
+                todo.append((i + 1, k, j + 1, m))
+    return sorted(out)
+
+
+def align(a: list, b: list) -> list:
+    """One sequence that matches both: matched parts aligned in turn, the others optional, neighbours folded."""
+    if a == b:
+        return a
+    name = lambda x: x if x == "#" else x[0]
+    only = lambda z: "#" if z == "#" else [z[0], z[1], z[2], True]
+    out: list = []
+    i = j = 0
+    for p, q in [*paired([name(z) for z in a], [name(z) for z in b]), (len(a), len(b))]:
+        out += [only(z) for z in (*a[i:p], *b[j:q])]
+        if p < len(a):
+            out.append("#" if a[p] == "#" else [a[p][0], align(a[p][1], b[q][1]), a[p][2] or b[q][2], a[p][3] or b[q][3]])
+        i, j = p + 1, q + 1
     folded: list = []
     for item in out:
         if folded and name(folded[-1]) == name(item):
@@ -213,14 +287,15 @@ def align(a: list, b: list) -> list:
 
 
 def expression(items: list) -> str:
-    """The wrapper as a regular expression over tags: (..)+ repeated, (..)? optional, # a text slot."""
+    """The wrapper as a regular expression over tags: (..)+ repeated, (..)? optional, both ((..)+)?, # a text slot."""
     out = []
     for x in items:
         if x == "#":
             out.append("#")
         else:
             body = f"<{x[0]}>{expression(x[1])}</{x[0].split('.')[0]}>"
-            out.append(f"({body}){'+' if x[2] else ''}{'?' if x[3] else ''}" if x[2] or x[3] else body)
+            body = f"({body})+" if x[2] else body
+            out.append(f"({body})?" if x[3] else body)
     return "".join(out)
 
 
@@ -283,20 +358,7 @@ def _matched(groups: list[tuple], items: list[tuple]) -> list[tuple[tuple, tuple
         j += 1
     if len(out) == len(groups):
         return out
-    best = [[0] * (len(items) + 1) for _ in range(len(groups) + 1)]
-    for i in range(len(groups) - 1, -1, -1):
-        for j in range(len(items) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if groups[i][0] == items[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(groups) and j < len(items):
-        if groups[i][0] == items[j][0]:
-            out.append((groups[i], items[j]))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+    return [(groups[i], items[j]) for i, j in paired([g[0] for g in groups], [x[0] for x in items])]
 
 
 def _checksum(text: str) -> int:
@@ -313,8 +375,13 @@ def content(page: str, main_known: bool, template: dict[int, set[int]], wrapper:
     fixed = [_checksum(s[3]) in template.get(at, ()) for s, at in zip(slots, places, strict=True)]
     if main_known and (inside := [i for i, (_, bad, main, _, _) in enumerate(slots) if main and not bad]):
         # inside the container a repeated group is content
-        kept = [i for i in inside if not fixed[i] or wrapper.repeated[places[i]]]
-        return "\n".join(slots[i][3] for i in kept or inside)
+        kept = [i for i in inside if not fixed[i] or wrapper.repeated[places[i]]] or inside
+        beside = [i for i, (_, bad, main, _, _) in enumerate(slots) if not main and not bad and not fixed[i]]
+        size = lambda of: sum(len(slots[i][3]) for i in of)
+        # a container with little of the page's text is a teaser, and what stands beside it is content as well
+        if size(kept) < CONTAINER_SHARE * (size(kept) + size(beside)):
+            kept = sorted([*kept, *beside])
+        return "\n".join(slots[i][3] for i in kept)
     # no container, or only one inside marked elements: the marks around it do not count
     rest = [i for i, (_, bad, main, _, inner) in enumerate(slots) if not bad or (main and not inner)]
     # nothing but marked elements: words are in doubt, and what varies is content

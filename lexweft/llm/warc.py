@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import shared_path, table, written
 
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
+#: Bytes of a file before compression, and of a record's header, that bound the records of a file.
+FILE_BYTES, HEADER_BYTES = 256 << 20, 2048
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -45,9 +47,13 @@ def _pieces(data: Column, size: int, make) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: make(cut(i), i))).otherwise(F.array().cast("array<string>"))
 
 
-def write_warc(pages: DataFrame, path: str, segment_bytes: int = 16384, chunk_bytes: int = 4096, revisit_from: int = 0, records_per_file: int = 50_000) -> None:
+def write_warc(pages: DataFrame, path: str, segment_bytes: int = 16384, chunk_bytes: int = 4096, revisit_from: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """Write a record per row of ``pages`` (page_id, url, html) to gzip WARC files under ``path``.
 
+    Records are no longer than a segment and its header, so their number bounds a file by ``file_bytes`` before
+    compression; the text sink writes one gzip stream a file. A url with control characters, or white space at its
+    ends, goes along in hexadecimal as well, so that it reads back unchanged.
+
     Payloads of ``revisit_from`` bytes or more are stored once. A null html is an empty payload; a null page_id
     gets no page header and reads back as null. Repeated rows give a record each.
     """
@@ -72,6 +78,7 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = 16384, chunk_by
         line("WARC-Record-ID", F.when(head, own).otherwise(F.concat(F.lit("<urn:uuid:"), F.col("uid"), F.lit("#"), F.col("seg").cast("string"), F.lit(">")))),
         F.lit("WARC-Date: 1970-01-01T00:00:00Z\r\n"),
         line("WARC-Target-URI", F.regexp_replace("url", "[\r\n]", "%0A"), head & F.col("url").isNotNull()),
+        line("X-Target-URI-Hex", F.hex(F.col("url").cast("binary")), head & F.col("url").rlike(r"(?U)\p{Cntrl}|^\s|\s$")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")), head),
         line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), head & F.col("again")),
         line("X-Page-ID", F.col("page_id"), head & F.col("page_id").isNotNull()),
@@ -85,7 +92,7 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = 16384, chunk_by
         F.col("part"),
         F.lit("\r\n"),
     )
-    p.select(record.alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    p.select(record.alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, file_bytes // (segment_bytes + HEADER_BYTES))).text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -157,7 +164,7 @@ def _reader(keep: bool):
                     if kind not in ("response", "revisit", "continuation"):
                         continue
                     row |= {"origin": f.get("warc-segment-origin-id") or f.get("warc-record-id"), "segment": num("warc-segment-number"), "total_length": num("warc-segment-total-length"), "warc_type": kind}
-                    row |= {"page_id": num("x-page-id"), "refers_to": num("x-refers-to-page-id"), "url": f.get("warc-target-uri"), "payload_digest": f.get("warc-payload-digest", "").removeprefix("sha1:") or None}
+                    row |= {"page_id": num("x-page-id"), "refers_to": num("x-refers-to-page-id"), "url": bytes.fromhex(f["x-target-uri-hex"]).decode() if "x-target-uri-hex" in f else f.get("warc-target-uri"), "payload_digest": f.get("warc-payload-digest", "").removeprefix("sha1:") or None}
                     if row["segment"] is None:
                         _decoded(row, block, keep)
                     else:

@@ -74,6 +74,12 @@ def test_warc_round_trip(spark, tmp_path):
     warc.write_warc(pages_of(spark, rows), str(tmp_path / "w"), segment_bytes=1000, chunk_bytes=77, revisit_from=3)
     back = {r["page_id"]: bytes(r["payload"]) for r in warc.read_warc(spark, str(tmp_path / "w")).filter("warc_type = 'response' AND page_id IS NOT NULL").collect()}
     assert back[6] == big.encode() and back[8] == b"0\r\n\r\n" and back[3] == b"x" and back[1] == b"x"
+    urls = {r["page_id"]: r["url"] for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert urls[1] == "http://b/\r\nX: y" and urls[6] == "u" and urls[2] is None
+    odd = [(i, u, "t", "a", 1) for i, u in enumerate([" lead", "trail\u00a0", "a\tb", "%0A", "é", ""])]
+    warc.write_warc(spark.createDataFrame(odd, "page_id long, url string, html string, sha string, seg int").coalesce(1), str(tmp_path / "u"), file_bytes=3 * (16384 + warc.HEADER_BYTES))
+    assert {r["page_id"]: r["url"] for r in warc.read_warc(spark, str(tmp_path / "u")).collect()} == {i: u for i, u, *_ in odd}
+    assert len(list((tmp_path / "u").glob("part-*"))) == 2
     raw = b"".join(__import__("gzip").decompress(f.read_bytes()) for f in (tmp_path / "w").glob("part-*"))
     assert raw.count(b"WARC-Type: continuation") > 50 and raw.startswith(b"WARC/1.1\r\n")
     assert warc.warc_round_trip(pages_of(spark, [])).count() == 0
@@ -839,6 +845,47 @@ def test_alignment_is_a_generalisation():
     assert html.align(a, a) == a
 
 
+def test_alignment_against_brute_force(monkeypatch):
+    """Small sequences: the longest common subsequence. At any size: both sequences match the wrapper."""
+    rng = random.Random(31)
+
+    def longest(x, y):
+        return 0 if not x or not y else 1 + longest(x[1:], y[1:]) if x[0] == y[0] else max(longest(x[1:], y), longest(x, y[1:]))
+
+    for table in (html.TABLE, 4):
+        monkeypatch.setattr(html, "TABLE", table)
+        for _ in range(150):
+            x, y = ([rng.choice("abcdefg") for _ in range(rng.randint(0, 9))] for _ in range(2))
+            pairs = html.paired(x, y)
+            assert all(x[i] == y[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+            assert table == 4 or len(pairs) == longest(x, y)
+            nodes = [[[n, ["#"], False, False] for n in z] for z in (x, y)]
+            pattern = re.compile(html.expression(html.align(*nodes)))
+            assert all(pattern.fullmatch("".join(f"<{n}>#</{n}>" for n in z)) for z in (x, y))
+
+
+def test_wide_pages_align_in_linear_memory():
+    import time
+
+    wide = lambda k: [[f"x{i * k}", ["#"], False, False] for i in range(40000)]
+    began = time.perf_counter()
+    out = html.align(wide(2), wide(3))
+    assert len(out) == 2 * 40000 - len({2 * i for i in range(40000)} & {3 * i for i in range(40000)}) and time.perf_counter() - began < 20
+    assert html.align([["a", ["#"], False, False], ["b", ["#"], False, False]] * 9000, [["b", ["#"], False, False]]) != []
+
+
+def test_teasers_and_containers_with_marked_looks(spark):
+    pages = [
+        ('<body class="has-sidebar"><main><article><p>Alpha beta', "Alpha beta"),
+        ('<article class="post comments-open"><h1>T</h1><p>Alpha beta', "T\nAlpha beta"),
+        ('<div class="layout with-sidebar"><div class="text"><p>Alpha beta', "Alpha beta"),
+        ('<article><p>One</p><div class="notice-board">Two</div><ul class="related-work"><li>Three</ul></article>', "One\nTwo\nThree"),
+        ("<article><p>Teaser</p></article><div class='content'><p>" + "The real story. " * 20 + "</p></div>", "Teaser\n" + " ".join(["The real story."] * 20)),
+    ]
+    rows = spark.createDataFrame([(i, f"http://t{i}.org/", h, "x", 1) for i, (h, _) in enumerate(pages)], "page_id long, url string, html string, host string, slot int")
+    assert {r["page_id"]: r["text"] for r in html.main_text(rows).collect()} == {i: t for i, (_, t) in enumerate(pages)}
+
+
 def test_long_and_deep_pages():
     deep = "<div>" * 3000 + "x" + "</div>" * 3000
     slots, root = html.read_page(deep, tree=True)
