@@ -26,6 +26,7 @@ class LinkConfig:
     topic_boost: float = 3.0
     topic_penalty: float = -3.0
     topic_least: int = 4
+    use_dense: bool = False  # needs an encoder
     hybrid_alpha: float = 0.7
     model_top_k: int = 10
     split_commas: bool = False

@@ -24,6 +24,33 @@ def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], key:
     return spark.read.parquet(at)
 
 
+def source_key(spark: SparkSession, *paths: str) -> str:
+    """A key for ``cached`` that changes with the time or size of the inputs."""
+    parts = []
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        status = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+        parts.append(f"{path}:{status.getModificationTime()}:{status.getLen()}")
+    return "|".join(parts)
+
+
+def raw_copy(spark: SparkSession, path: str, fetch: Callable[[], str]) -> DataFrame:
+    """(value): a fetched text as it came, kept under ``path`` and fetched only if it is not there."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        spark.createDataFrame([(fetch(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return spark.read.option("wholetext", True).text(path)
+
+
+def save_synonyms(names: DataFrame, path: str) -> None:
+    """Write (entity_id, name) as JSON lines of an id and its sorted names, as ``load_synonyms`` reads them."""
+    names.groupBy("entity_id").agg(F.sort_array(F.collect_set("name")).alias("names")).write.mode("overwrite").json(path)
+
+
+def load_synonyms(spark: SparkSession, path: str) -> DataFrame:
+    """(entity_id, name) of ``save_synonyms``."""
+    return spark.read.schema("entity_id string, names array<string>").json(path).select("entity_id", F.explode("names").alias("name"))
+
+
 def requests(spark: SparkSession, items: list[str | dict]) -> DataFrame:
     """(mention_id, mention, entity_type) of a request body: strings, or objects with text and entity_type."""
     rows = [(i, x, None) if isinstance(x, str) else (i, x.get("text"), x.get("entity_type")) for i, x in enumerate(items)]

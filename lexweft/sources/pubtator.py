@@ -13,8 +13,14 @@ SCHEMAS = {
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, value) of a text file; ord follows the file's order."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), "value")
+    """(ord, value) of text files; ord follows the files by name, then the lines of each.
+
+    Spark reads files in an order of its own, so the file's number stands above the place in it: where the line's block
+    starts, plus the line's number in its partition, which has no more lines than bytes.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("n"), "value")
+    names = lines.select("f").distinct().withColumn("file", F.row_number().over(Window.orderBy("f")) - 1)  # a row for each file
+    return lines.join(F.broadcast(names), "f").select((F.shiftleft(F.col("file").cast("long"), 44) + F.col("b") + F.col("n")).alias("ord"), "value")
 
 
 def _whole(x: Column) -> Column:

@@ -9,6 +9,8 @@ import urllib.request
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .pubtator import read_lines
+
 _TERMS = "ConceptList struct<Concept: array<struct<ScopeNote: string, TermList: struct<Term: array<struct<String: string>>>>>>"
 DESCRIPTOR = f"DescriptorUI string, DescriptorName struct<String: string>, {_TERMS}, TreeNumberList struct<TreeNumber: array<string>>"
 SUPPLEMENT = f"SupplementalRecordUI string, SupplementalRecordName struct<String: string>, {_TERMS}"
@@ -56,7 +58,7 @@ def split_rrf(lines: DataFrame) -> DataFrame:
 
 
 def read_rrf(spark: SparkSession, path: str) -> DataFrame:
-    return split_rrf(spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), "value"))
+    return split_rrf(read_lines(spark, path))
 
 
 def concept_rows(rrf: DataFrame, vocabularies: list[str] | None = None) -> DataFrame:

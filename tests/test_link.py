@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from lexweft.operators import evaluate, expand, extract, merge, rank
 from lexweft.plans.config import LinkConfig
-from lexweft.plans.link import link, link_text, report
+from lexweft.plans.link import evaluate_job, link, link_text, report
 from lexweft.sources import caches, pubtator, terminology
 
 ENTITIES = [
@@ -144,3 +144,59 @@ def test_dense_index(spark):
     assert got[7] == 2 and got[8] == 3
     c = spark.createDataFrame([(1, "lung cancer", "lung cancer"), (2, "lung cancer", "aspirin")], "mention_id long, mention string, preferred_label string")
     assert [round(r["dense"]) == 100 for r in dense.score_candidates(c, load).orderBy("mention_id").collect()] == [True, False]
+
+
+def test_dense_branch_finds_and_rescores(spark):
+    from lexweft.operators import dense
+
+    ents, docs = spark.createDataFrame(ENTITIES, KB), spark.createDataFrame([(1, "Lung cancer", TEXT)], DOCS)
+    m = spark.createDataFrame([(1, 1, "myocardial infarct", "Disease")], "mention_id long, doc_id long, mention string, entity_type string")
+    config = LinkConfig(use_dense=True, top_k=2, use_expansion=False, use_rules=False, use_topics=False)
+    phases = link(m, docs, ents, config, encoder=dense.hashed_trigrams())
+    plain, mixed = ({r["entity_id"]: r for r in phases[p].collect()} for p in ("search", "dense"))
+    assert set(plain) <= set(mixed) and mixed["D009203"]["ord"] == 0
+    scored = dense.score_candidates(spark.createDataFrame([("myocardial infarct", "myocardial infarction")], "mention string, preferred_label string"), dense.hashed_trigrams()).first()["dense"]
+    assert abs(mixed["D009203"]["score"] - (0.7 * plain["D009203"]["score"] + 0.3 * scored)) < 1e-6
+    try:
+        link(m, docs, ents, config)
+        raise AssertionError
+    except ValueError:
+        pass
+
+
+def test_evaluation_by_id_and_by_concept(spark, tmp_path):
+    ents, docs = spark.createDataFrame(ENTITIES, KB), spark.createDataFrame([(1, "Lung cancer", TEXT)], DOCS)
+    rows = [(1, "lung cancer", "Disease", "UMLS:C1", 0), (1, "aspirin", "Chemical", "UMLS:C2", 1), (1, "aspirin", "Chemical", "UMLS:C2", 2), (1, "unmapped", "Disease", "UMLS:C9", 3)]
+    ann = spark.createDataFrame(rows, "doc_id long, mention string, entity_type string, mesh_id string, ann_ord long")
+    cuis = spark.createDataFrame([("C1", "D008175"), ("C2", "D001241"), ("C2", "D999")], "cui string, entity_id string")
+    config = LinkConfig(use_expansion=False, use_rules=False, use_topics=False)
+    out = evaluate_job(docs, ann, ents, "medmentions", config, cui_map=cuis, log=str(tmp_path / "log"))
+    at = lambda o: {r["k"]: (r["hits"], r["total"]) for r in o["accuracy_ranked"].collect()}
+    assert at(out)[1] == (2, 2)
+    assert spark.read.json(str(tmp_path / "log" / "accuracy_ranked")).count() == 5
+    by = ents.join(cuis.dropDuplicates(["cui"]), "entity_id").drop("entity_id").withColumnRenamed("cui", "entity_id")
+    assert at(evaluate_job(docs, ann, by, "medmentions", config, by_concept=True))[1][1] == 3
+    assert at(evaluate_job(docs, ann, by, "medmentions", config, cui_map=cuis, by_concept=True, limit=1))[1] == (1, 1)
+
+
+def test_lines_of_several_files_keep_their_order(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.txt").write_text("1|t|old\n")
+    (tmp_path / "p" / "b.txt").write_text("1|t|new\n" + "".join(f"{i}|t|T{i}\n" for i in range(2, 400)))
+    lines = pubtator.read_lines(spark, str(tmp_path / "p"))
+    assert [r["value"] for r in lines.orderBy("ord").limit(3).collect()] == ["1|t|old", "1|t|new", "2|t|T2"]
+    assert {r["title"] for r in pubtator.parse(lines)[0].filter("pmid = '1'").collect()} == {"new"}
+
+
+def test_caches_of_names_copies_and_times(spark, tmp_path):
+    names = spark.createDataFrame([("D1", "b"), ("D1", "a"), ("D1", "a"), ("D2", "c")], "entity_id string, name string")
+    caches.save_synonyms(names, str(tmp_path / "s"))
+    assert sorted(map(tuple, caches.load_synonyms(spark, str(tmp_path / "s")).collect())) == [("D1", "a"), ("D1", "b"), ("D2", "c")]
+    asked = []
+    for _ in range(2):
+        assert caches.raw_copy(spark, str(tmp_path / "raw"), lambda: asked.append(1) or "{\"x\": 1}").first()["value"].strip() == '{"x": 1}'
+    assert asked == [1]
+    (tmp_path / "f").write_text("1")
+    one = caches.source_key(spark, str(tmp_path / "f"))
+    (tmp_path / "f").write_text("12")
+    assert caches.source_key(spark, str(tmp_path / "f")) != one
