@@ -34,8 +34,9 @@ def reachable(relations: DataFrame, mapped: DataFrame, most: int = MOST_BRIDGED)
     one = start.join(ids, "other").select("cui", "entity_id").distinct()
     up = edges.filter(F.col("kind").isin("parent", "broader")).select("cui", "other").distinct()
     rest = up.join(bare, "cui").join(one.select("cui").distinct(), "cui", "left_anti")
-    # ids of the middle concepts first: few concepts have one
+    # ids of the middle concepts first: few concepts have one, and a hub passes on no more than are kept
     mid = up.join(ids, "other").select(F.col("cui").alias("mid"), "entity_id").distinct()
+    mid = mid.withColumn("r", F.row_number().over(Window.partitionBy("mid").orderBy("entity_id"))).filter(F.col("r") <= most).drop("r")
     two = rest.select("cui", F.col("other").alias("mid")).join(mid, "mid").select("cui", "entity_id").distinct()
     w = Window.partitionBy("cui").orderBy("entity_id")
     some = one.union(two).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most)
