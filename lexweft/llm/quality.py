@@ -297,7 +297,7 @@ def _limits(held: DataFrame, quantile: float) -> DataFrame:
     every = away.agg(F.expr(f"percentile(r, {quantile!r}D)").alias("far"), (F.count("*") - F.count_distinct("lang")).alias("free"))
     # a quantile of a few distances is too small, as a normal one is against Student's (its expansion)
     z = NormalDist().inv_cdf(quantile)
-    far = F.greatest("far", F.lit(0.0)) * (1 + (z**2 + 1) / (4 * F.greatest("free", F.lit(1))) + (5 * z**4 + 16 * z**2 + 3) / (96 * F.greatest("free", F.lit(1)) ** 2))
+    far = F.when(F.col("far").isNotNull(), F.greatest("far", F.lit(0.0))) * (1 + (z**2 + 1) / (4 * F.greatest("free", F.lit(1))) + (5 * z**4 + 16 * z**2 + 3) / (96 * F.greatest("free", F.lit(1)) ** 2))
     # n documents place the limit within about 1 / sqrt(n) of itself; clean documents get twice that as a margin
     wide = own.join(F.broadcast(every.select(far.alias("far"))))  # one row
     return wide.select("lang", (F.col("mean") + (F.col("n") * (F.col("own") - F.col("mean")) + PRIOR * F.col("far") * F.sqrt(1 + 1 / F.col("n")) * (1 + 2 / F.sqrt("n"))) / (F.col("n") + PRIOR)).alias("limit"))
