@@ -9,11 +9,12 @@ of the signature's places, so its values are spread without repetition, which lo
 stops at the first round that can no longer lower any of its places.
 
 Signatures are cut into BANDS bands of ROWS values. Classes that share a band meet in a bucket. No bucket is ever
-expanded into all its pairs: each member is compared with two members drawn by a hash, so that every class meets
-others at random in each of its buckets, and classes that end up in one component are settled. Members of buckets
-that still hold several components meet once more by their rarest shingles: similar sets must share one of the
-first in an order by document frequency, at places that leave room for the overlap (``prefix_meetings``), so these
-groups miss nothing, and common passages drop out of them. Before texts are fetched, pairs must pass a bound: each
+expanded into all its pairs: each member is compared with the bucket's central member, which is the one that meets
+most others in all buckets, and with its first by a hash. Near copies of one text mostly have the same two in all
+their buckets, so a member makes a few pairs, however large the group. Classes that end up in one component are
+settled. Members of buckets that still hold several components meet once more by their rarest shingles: similar sets
+must share one of the first in an order by document frequency, at places that leave room for the overlap
+(``prefix_meetings``), so these groups miss nothing, and common passages drop out of them. Before texts are fetched, pairs must pass a bound: each
 set has a bitmap of the parities of its hashed elements, and the bits in which two bitmaps differ are at most the
 elements in which the sets differ. The bound never rejects a link. At
 similarity 0.8 a pair shares none of the 32 bands with probability (1 - 0.8**4)**32, about 5e-8.
@@ -35,6 +36,8 @@ from .components import components
 
 ROWS, BANDS = 4, 32
 PLACES = ROWS * BANDS
+#: Members that are drawn of each bucket, besides its central one.
+DRAWS = 3
 #: 64-bit words of a set's parity bitmap.
 WORDS = 8
 _STEP = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0x27D4EB2F165667C5))
@@ -207,7 +210,7 @@ def prefix_groups(rows: DataFrame, k: int, percent: int) -> DataFrame:
     return out
 
 
-def prefix_meetings(groups: DataFrame, percent: int) -> DataFrame:
+def prefix_meetings(groups: DataFrame, percent: int, bits: DataFrame | None = None) -> DataFrame:
     """Distinct (a, b), a < b, of different components that may be similar, from ``groups`` (node, n, key, p, c).
 
     Of a pair, the smaller set x (n elements) and the larger y (m) must share an element whose places leave room for
@@ -215,7 +218,8 @@ def prefix_meetings(groups: DataFrame, percent: int) -> DataFrame:
     under its first n - need(n, n) + 1 keys, by the class of its size, and y looks in each class that its place q
     still allows. In a family of documents that share a template and differ in more than the similarity allows, the
     first places are their own shingles, and they do not meet. Within a key, only what is outside the component
-    with most seats is compared with the others.
+    with most seats is compared with the others. ``bits`` (node, bits) are the bitmaps; with them a pair that they rule
+    out is never made.
     """
     n, p = F.col("n"), F.col("p")
     filed = groups.filter(p <= n - _need(n, n, percent) + 1).withColumn("cls", _size_class(n)).withColumn("looks", F.lit(False))
@@ -225,13 +229,39 @@ def prefix_meetings(groups: DataFrame, percent: int) -> DataFrame:
     seats = written(looks.join(small(written(filed.select("key", "cls").distinct(), "shelves")), ["key", "cls"], "left_semi").unionByName(filed), "seats")
     taken = seats.groupBy("key", "cls", "c").agg(F.count("*").alias("s"))
     busy = written(taken.groupBy("key", "cls").agg(F.max_by("c", F.struct("s", "c")).alias("main"), F.count("*").alias("k")).filter("k > 1").drop("k"), "busy")
-    minor = seats.join(small(busy), ["key", "cls"]).filter("c <> main")
-    minor = written(minor.select("key", "cls", *[F.col(x).alias(f"{x}2") for x in ("node", "n", "p", "c", "looks")]), "minor")
+    contested = seats.join(small(busy), ["key", "cls"])
+    if bits is not None:
+        contested = contested.join(bits, "node")
+    contested = written(contested, "contested")
+    carried = [x for x in contested.columns if x not in ("key", "cls", "main")]
+    minor = written(contested.filter("c <> main").select("key", "cls", *[F.col(x).alias(f"{x}2") for x in carried]), "minor")
     room = (F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")) + 1 >= _need(F.col("n"), F.col("n2"), percent)) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-    met = seats.join(small(minor), ["key", "cls"]).filter((F.col("looks") != F.col("looks2")) & (F.col("c") != F.col("c2")) & room)
+    if bits is not None:
+        room &= _may_link("bits", "bits2", F.col("n") + F.col("n2"), percent)
+    met = contested.join(small(minor), ["key", "cls"]).filter((F.col("looks") != F.col("looks2")) & (F.col("c") != F.col("c2")) & room)
     return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(node, n, key, crowd): the classes by the bands that they share with others; crowd counts whom a class meets."""
+    banded = written(classes.select("node", "n", F.explode("bands").alias("key")), "banded")
+    shared = written(banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "shared")
+    seats = written(banded.join(small(shared), "key"), "seats")
+    discard(banded)
+    crowd = written(seats.groupBy("node").agg(F.sum("c").alias("crowd")), "crowd")
+    return written(seats.drop("c").join(small(crowd), "node"), "buckets")
+
+
+def _drawn(buckets: DataFrame) -> DataFrame:
+    """(key, drawn, size): of each bucket its central member and the first by a hash, and how many members it has.
+
+    Both orders are the same in all buckets, so members that share many of them meet the same few others.
+    """
+    h, one = F.xxhash64("node"), F.struct(F.col("node").alias("other"), F.col("n").alias("m"))
+    drawn = F.array_distinct(F.array(F.max_by(one, F.struct("crowd", h)), F.min_by(one, h)))
+    return written(buckets.groupBy("key").agg(drawn.alias("drawn"), F.count("*").alias("size")), "drawn")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -243,22 +273,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sketch = written(docs.select("doc_id", "text").mapInArrow(_sketcher(k), "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"), "sketch")
     usable = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
-    buckets = written(classes.select("node", "n", F.explode("bands").alias("key")), "buckets")
+    buckets = _buckets(classes)
     texts = docs.select("doc_id", "text")
-    # Two members of each bucket, drawn by a hash; the table apart lets the join split hot buckets.
-    h = F.xxhash64("key", "node")
-    low = buckets.groupBy("key").agg(F.min_by("node", h).alias("p"), F.min_by("n", h).alias("pn"), F.max_by("node", h).alias("q"), F.max_by("n", h).alias("qn"), F.count("*").alias("c"))
-    low = written(low.filter("c > 1").drop("c"), "drawn")
-    met = buckets.join(small(low), "key").select("node", "n", F.inline(F.array(F.struct(F.col("p").alias("other"), F.col("pn").alias("m")), F.struct(F.col("q").alias("other"), F.col("qn").alias("m")))))
+    drawn = small(_drawn(buckets))
+    met = buckets.join(drawn, "key").select("node", "n", F.inline("drawn"))
     links = _verified(_bounded(_ordered(met, percent), classes, percent), texts, k, percent)
     label = small(written(components(links), "label"))
     known = buckets.join(label, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    mixed = written(known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo <> hi AND size > 2").select("key"), "mixed")
+    mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
+    # where all members but one are drawn, each pair has met
+    mixed = written(mixed.join(drawn, "key").filter(F.col("size") > F.size("drawn") + 1).select("key"), "mixed")
     open_ = written(known.join(small(mixed), "key", "left_semi").select(F.col("node").alias("doc_id"), "n").distinct(), "open")
     if not open_.isEmpty():
         groups = prefix_groups(texts.join(small(open_), "doc_id"), k, percent).join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).select("node", "n", "key", "p", "c")
-        pairs = prefix_meetings(written(groups, "members"), percent)
-        links = links.union(_verified(_bounded(pairs, classes, percent), texts, k, percent))
+        pairs = prefix_meetings(written(groups, "members"), percent, classes.select("node", "bits"))
+        links = links.union(_verified(pairs, texts, k, percent))
         label = small(written(components(links), "label"))
     member = classes.join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     linked = usable.select("doc_id", "n_shingles", "digest").join(member, "digest").select("doc_id", "n_shingles", "component_id")

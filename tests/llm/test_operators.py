@@ -421,6 +421,29 @@ def test_meetings_grow_with_the_family_and_miss_nothing(spark):
     assert counts[1] <= 8 * counts[0] + 200
 
 
+def test_near_copies_of_one_text_meet_few_others(spark, monkeypatch):
+    """A group of near copies: a member meets a few others, not new ones in each bucket, and the components are those of all pairs."""
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    base = [rng.choice(words) for _ in range(120)]
+    docs = []
+    for i in range(240):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        docs.append((i, " ".join(w)))
+    met, ordered = [], neardup._ordered
+
+    def counted(*args):
+        met.append(ordered(*args).count())
+        return ordered(*args)
+
+    monkeypatch.setattr(neardup, "_ordered", counted)
+    out = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 4, 80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_groups(docs, 4, 80)
+    assert sum(met) <= 16 * len(docs), met
+
+
 def test_prefixes_rank_shingles_once_for_repeated_rows(spark):
     """Sets that share 90 of 100 shingles share a key, also if each document stands in three rows."""
     rng = random.Random(12)
