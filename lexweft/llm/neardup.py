@@ -14,9 +14,9 @@ most others in all buckets, and with its first by a hash. Near copies of one tex
 their buckets, so a member makes a few pairs, however large the group. Classes that end up in one component are
 settled. Members of buckets that still hold several components meet once more by their rarest shingles: similar sets
 must share one of the first in an order by document frequency, at places that leave room for the overlap
-(``prefix_meetings``), so these groups miss nothing, and common passages drop out of them. Before texts are fetched, pairs must pass a bound: each
-set has a bitmap of the parities of its hashed elements, and the bits in which two bitmaps differ are at most the
-elements in which the sets differ. The bound never rejects a link. At
+(``prefix_meetings``), so these groups miss nothing, and common passages drop out of them. Before texts
+are fetched, pairs must pass a bound: each set has a bitmap of the parities of its hashed elements, and the bits in
+which two bitmaps differ are at most the elements in which the sets differ. The bound never rejects a link. At
 similarity 0.8 a pair shares none of the 32 bands with probability (1 - 0.8**4)**32, about 5e-8.
 """
 
