@@ -146,9 +146,10 @@ def evaluate_job(docs: DataFrame, annotations: DataFrame, entities: DataFrame, d
     a = evaluate.keep_first(a, ["mention", "mesh_id"], "ann_ord")
     a = a.orderBy("ann_ord").limit(limit) if limit else a
     m = settled(a.select(F.monotonically_increasing_id().alias("mention_id"), "doc_id", "mention", "entity_type", F.col("mesh_id").alias("gold_id")))
-    if alias is None:
-        alias = evaluate.aliases(concepts) if concepts is not None else spark.createDataFrame([], "id string, alias_id string")
-    gold = evaluate.expanded_gold(m, alias, config.split_commas)
+    if alias is None and concepts is not None:
+        gold = evaluate.gold_by_concept(m, concepts, config.split_commas)
+    else:
+        gold = evaluate.expanded_gold(m, spark.createDataFrame([], "id string, alias_id string") if alias is None else alias, config.split_commas)
     phases = link(m.drop("gold_id"), docs, entities, config, **more)
     out = report(phases, m, gold)
     first = lambda p: evaluate.gold_rank(m, phases[p].select("mention_id", "entity_id", "ord"), gold).select("mention_id", F.coalesce(F.col("gold_rank") == 1, F.lit(False)).alias(f"{p}_correct"))

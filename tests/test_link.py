@@ -200,3 +200,23 @@ def test_caches_of_names_copies_and_times(spark, tmp_path):
     one = caches.source_key(spark, str(tmp_path / "f"))
     (tmp_path / "f").write_text("12")
     assert caches.source_key(spark, str(tmp_path / "f")) != one
+
+
+def test_gold_by_concept_in_blocks(spark, monkeypatch):
+    """Aliases by blocks of a concept equal the plain join; ids in several shared concepts, null ids and hot concepts count once."""
+    from lexweft.operators import evaluate
+
+    rows = [("hot", f"h{i}") for i in range(40)] + [("c2", f"h{i}") for i in range(0, 40, 2)] + [("c3", "x"), ("c3", "h0"), ("c3", None), (None, "x"), ("c3", "x")]
+    concepts = spark.createDataFrame(rows, "concept string, id string")
+    m = spark.createDataFrame([(1, "h1|h2"), (2, "h4,h6|x"), (3, "none"), (4, None), (5, "x|"), (1, "h2|h8")], "mention_id long, gold_id string")
+    pairs = {(a, b) for ca, a in rows for cb, b in rows if ca and ca == cb and a and b and a != b}
+    gold = {(i, p) for i, g in m.collect() for p in (g or "").split("|") if p}
+    gold |= {(i, b) for i, p in gold for a, b in pairs if a == p}
+    monkeypatch.setattr(evaluate, "ALIAS_BLOCK", 7)
+    got = [tuple(r) for r in evaluate.aliases(concepts).collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs
+    got = [tuple(r) for r in evaluate.gold_by_concept(m, concepts).collect()]
+    assert len(got) == len(set(got)) and set(got) == gold
+    # no join or exchange carries pairs: hot ids meet in at least as many tasks as the pairs ask for
+    monkeypatch.setattr(evaluate, "PAIRS_PER_TASK", 100)
+    assert evaluate.aliases(concepts.filter("concept = 'hot'")).rdd.getNumPartitions() >= 16
