@@ -11,8 +11,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType
 
 from ..functions.similarity import LabelBlock, difflib_ratios, sort_tokens
 from ..functions.text import label_tokens
@@ -169,10 +171,105 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, key: str, text: str, k1: fl
     return hit.groupBy("query", key).agg(F.round(F.sum(_part(k1, b)), 6).alias("score"))
 
 
+#: Cells (documents by queries) and hits (terms of documents by queries) that a task scores at a time.
+CELLS, HITS = 2_000_000, 2_000_000
+_SPACES = bytes(c if c in b"abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
+
+
+def _postings(batch: pa.RecordBatch, number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(length of each document, (document, term, tf) of the numbered terms, by document) of lower-cased texts."""
+    ids, lengths = [], np.zeros(batch.num_rows, np.int64)
+    for i, text in enumerate(batch.column("text").cast(pa.binary())):
+        tokens = text.as_py().translate(_SPACES).split()
+        lengths[i] = len(tokens)
+        ids.append(np.fromiter((number.get(t, -1) for t in tokens), np.int64, len(tokens)))
+    term = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    code = (np.repeat(np.arange(batch.num_rows), lengths) * len(number) + term)[term >= 0]
+    code, tf = np.unique(code, return_counts=True)
+    return lengths, code // max(len(number), 1), code % max(len(number), 1), tf
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def _count_terms(number: dict[bytes, int]):
+    """(term, df) by slices; under -1 the documents and under -2 their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(number) + 2, np.int64)
+        for batch in _slices(batches, 256):
+            lengths, _, term, _ = _postings(batch, number)
+            n += np.bincount(term, minlength=len(number) + 2)
+            n[-1] += batch.num_rows
+            n[-2] += lengths.sum()
+        at = np.append(np.arange(len(number)), (-2, -1))
+        yield pa.RecordBatch.from_arrays([pa.array(at[n > 0]), pa.array(n[n > 0])], names=["term", "n"])
+
+    return run
+
+
+def _score_documents(queries: list[str], number: dict[bytes, int], starts: np.ndarray, of: np.ndarray, df: np.ndarray, n: int, avgdl: float, k: int, k1: float, b: float, key: str):
+    """The best ``k`` documents of each slice for each query; queries of a term stand in ``of`` from its place in ``starts``."""
+    idf, many = np.log(1.0 + (n - df + 0.5) / (df + 0.5)), np.diff(starts)
+    names = pa.array(queries, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, max(1, min(256, CELLS // len(queries)))):
+            batch = batch.take(pa.compute.sort_indices(batch.column("key")))  # ties go to the smaller key
+            lengths, doc, term, tf = _postings(batch, number)
+            part = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / avgdl))
+            score, met = np.zeros(batch.num_rows * len(queries)), np.zeros(batch.num_rows * len(queries), bool)
+            ends = np.cumsum(many[term])
+            first = 0
+            while first < len(term):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + HITS, "right")))
+                m = many[term[first:last]]
+                inside = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                cell = np.repeat(doc[first:last] * len(queries), m) + of[np.repeat(starts[term[first:last]], m) + inside]
+                score += np.bincount(cell, np.repeat(part[first:last], m), len(score))
+                met[cell] = True
+                first = last
+            # a rounded score decides, so that no order of summation does
+            s = np.where(met, np.round(score, 6), -1.0).reshape(batch.num_rows, -1)
+            cut = np.maximum(np.partition(s, -min(k, len(s)), axis=0)[-min(k, len(s))], 0.0)
+            query, row = np.nonzero((s >= cut).T)
+            order = np.lexsort((row, -s[row, query], query))
+            query, row = query[order], row[order]
+            take = np.arange(len(query)) - np.searchsorted(query, query) < k
+            query, row = query[take], row[take]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), batch.column("key").take(pa.array(row)), pa.array(s[row, query])], names=["query", key, "score"])
+
+    return run
+
+
 def bm25_topk(queries: DataFrame, docs: DataFrame, key: str, text: str, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, key, score, rank): the best ``k`` of ``bm25_scores``."""
+    """(query, key, score, rank): the best ``k`` of ``bm25_scores``.
+
+    Up to ``BLOCK`` queries go to where the documents are: one pass counts their terms, a second one scores slice by
+    slice, and only each slice's best rows are shuffled. More queries, or keys that are null or not unique, take the join.
+    """
     w = Window.partitionBy("query").orderBy(F.desc("score"), key)
-    return bm25_scores(queries, docs, key, text, k1, b).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    best = lambda scored: scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    q = queries.select(F.lower("mention").alias("query")).filter("query IS NOT NULL").distinct()
+    first = q.limit(BLOCK + 1).select("query", F.array_distinct(label_tokens("query", 1)).alias("terms")).collect()
+    of_key = docs.filter(F.col(text).isNotNull()).groupBy(key).count().filter((F.col("count") > 1) | F.col(key).isNull())
+    if len(first) > BLOCK or not isinstance(docs.schema[key].dataType, (LongType, IntegerType, StringType)) or of_key.limit(1).count():
+        return best(bm25_scores(queries, docs, key, text, k1, b))
+    first.sort(key=lambda r: r["query"])
+    number = {t.encode(): i for i, t in enumerate(sorted({t for r in first for t in r["terms"]}))}
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.lower(text).alias("text"))
+    counts = dict(map(tuple, rows.select("text").mapInArrow(_count_terms(number), "term long, n long").groupBy("term").agg(F.sum("n")).collect()))
+    schema = f"query string, {key} {docs.schema[key].dataType.simpleString()}, score double"
+    if not number or not counts.get(-2):
+        return best(q.sparkSession.createDataFrame([], schema))
+    n, df = counts[-1], np.array([counts.get(i, 0) for i in range(len(number))], np.float64)
+    pairs = sorted((number[t.encode()], i) for i, r in enumerate(first) for t in r["terms"])
+    starts = np.searchsorted(np.array([t for t, _ in pairs]), np.arange(len(number) + 1))
+    run = _score_documents([r["query"] for r in first], number, starts, np.array([i for _, i in pairs]), df, n, counts[-2] / n, k, k1, b, key)
+    return best(rows.mapInArrow(run, schema))
 
 
 def edits_allowed(term: Column) -> Column:

@@ -82,3 +82,42 @@ def test_dense_index_equals_brute_force(spark):
         want = best([(j % 5, x) for j, x in enumerate(s)], 3)
         got = sorted((r["rank"], r["entity_id"], r["score"]) for r in out if r["query"] == i)
         assert got[0][1] == i and np.allclose([g[2] for g in got], [-x for _, x in want], atol=1e-4)
+
+
+def test_bm25_by_slices_equals_the_join(spark, monkeypatch):
+    """Documents scored slice by slice: same rows as all scores by the join, with ties, empty and null texts, other letters and keys as strings."""
+    rng = random.Random(5)
+    words = ["alpha", "beta", "Gamma", "x1", "été", "42", "delta", "KELVIN", "eta"]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for i in range(300)] + [(300, None), (301, ""), (302, "--")]
+    docs += [(1000 + i, docs[i][1]) for i in range(60)]  # ties
+    queries = spark.createDataFrame([("alpha beta beta",), ("Gamma, ÉTÉ",), ("nothing here",), ("42 x1 delta",), ("",), (None,), ("KELVIN",)], "mention string")
+
+    def scan(*_):
+        raise AssertionError("the join was taken")
+
+    for kind, df in (("long", spark.createDataFrame(docs, "doc long, text string")), ("string", spark.createDataFrame([(f"d{i}", t) for i, t in docs], "doc string, text string"))):
+        want = {}
+        for r in retrieve.bm25_scores(queries, df, "doc", "text").collect():
+            want.setdefault(r["query"], []).append((-r["score"], r["doc"]))
+        want = sorted((q, d, -s, i + 1) for q, x in want.items() for i, (s, d) in enumerate(sorted(x)[:7]))
+        with monkeypatch.context() as m:
+            m.setattr(retrieve, "bm25_scores", scan)
+            got = retrieve.bm25_topk(queries, df.repartition(3), "doc", "text", 7)
+            assert sorted(map(tuple, got.collect())) == want and len(want) > 20, kind
+    # a key that is not unique takes the join, and the searches without terms or documents have no rows
+    twice = spark.createDataFrame([(1, "alpha"), (1, "beta")], "doc long, text string")
+    assert retrieve.bm25_topk(queries, twice, "doc", "text").count() == 1
+    assert retrieve.bm25_topk(queries, twice.filter("false"), "doc", "text").count() == 0
+    assert retrieve.bm25_topk(queries.filter("mention = ''"), twice, "doc", "text").count() == 0
+
+
+def test_bm25_slices_are_bounded(monkeypatch):
+    """A slice's hits are added a bounded number at a time, with the same scores."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["a b c " * (i + 1) for i in range(40)])], names=["key", "text"])
+    queries, number = [f"q{i}" for i in range(30)], {b"a": 0, b"b": 1, b"c": 2}
+    run = lambda: [b.to_pylist() for b in retrieve._score_documents(queries, number, np.array([0, 30, 60, 90]), np.tile(np.arange(30), 3), np.full(3, 40.0), 40, 60.0, 5, 1.2, 0.75, "key")(iter([batch]))]
+    one = run()
+    monkeypatch.setattr(retrieve, "HITS", 35)
+    assert run() == one and len(one[0]) == 150
