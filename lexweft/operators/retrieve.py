@@ -324,16 +324,17 @@ def _matrix(vectors: pa.Array, n: int) -> np.ndarray:
 
 
 def _dense_block(ids: np.ndarray, matrix: np.ndarray, batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
-    """The best ``limit`` vectors of a batch for each query, and all that tie with the last one."""
+    """The best ``limit`` vectors of a batch for each query, and all that tie with the last one, in tiles of ``CELLS`` scores."""
     if not batch.num_rows or not len(ids):
         return
-    # a rounded score decides, so that no order of summation does
-    s = np.round(matrix @ _matrix(batch.column("embedding"), batch.num_rows).T, 6)
-    keep = min(limit, batch.num_rows)
-    cut = np.partition(s, batch.num_rows - keep, axis=1)[:, batch.num_rows - keep]
-    of, take = np.nonzero(s >= cut[:, None])
-    rows = pa.array(take)
-    yield pa.RecordBatch.from_arrays([pa.array(ids[of]), batch.column("entity_id").take(rows), batch.column("label_ord").take(rows), pa.array(s[of, take])], names=["query", "entity_id", "label_ord", "score"])
+    vectors, keep, step = _matrix(batch.column("embedding"), batch.num_rows).T, min(limit, batch.num_rows), max(1, CELLS // batch.num_rows)
+    for i in range(0, len(ids), step):
+        # a rounded score decides, so that no order of summation does
+        s = np.round(matrix[i : i + step] @ vectors, 6)
+        cut = np.partition(s, batch.num_rows - keep, axis=1)[:, batch.num_rows - keep]
+        of, take = np.nonzero(s >= cut[:, None])
+        rows = pa.array(take)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i + of]), batch.column("entity_id").take(rows), batch.column("label_ord").take(rows), pa.array(s[of, take])], names=["query", "entity_id", "label_ord", "score"])
 
 
 def _dense_against(ids: np.ndarray, matrix: np.ndarray, limit: int):

@@ -121,3 +121,24 @@ def test_bm25_slices_are_bounded(monkeypatch):
     one = run()
     monkeypatch.setattr(retrieve, "HITS", 35)
     assert run() == one and len(one[0]) == 150
+
+
+def test_dense_tiles_are_bounded(monkeypatch):
+    """A block of queries meets a batch in tiles of bounded size; all rows of every tile come out."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    v, q = rng.normal(size=(500, 8)).astype(np.float32), rng.normal(size=(70, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(range(500)), pa.array(list(v))], names=["entity_id", "label_ord", "embedding"])
+    monkeypatch.setattr(retrieve, "CELLS", 5_000)
+    sizes, plain = [], np.round
+
+    def seen(x, n):
+        sizes.append(x.size)
+        return plain(x, n)
+
+    monkeypatch.setattr(retrieve.np, "round", seen)
+    rows = [r for b in retrieve._dense_block(np.arange(70), q, batch, 4) for r in b.to_pylist()]
+    s = plain(q @ v.T.astype(np.float64), 6)
+    assert max(sizes) <= 5_000 and len(rows) == 280
+    assert {(r["query"], r["entity_id"]) for r in rows} == {(i, j) for i in range(70) for j in np.argsort(-s[i])[:4]}
