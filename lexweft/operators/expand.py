@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import significant_words
+from .evaluate import _by_concept, _once
 from .merge import keep_best
 
 BRIDGE_SCORE = 60.0
@@ -49,13 +50,29 @@ def name_bridge(names: DataFrame, reached: DataFrame) -> DataFrame:
     return n.join(reached, "cui").select("name", F.explode("ids").alias("entity_id")).distinct()
 
 
+def _placed(found: DataFrame) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("mention_id").orderBy("entity_id")) - 1
+    return found.select("mention_id", "entity_id", F.lit(BRIDGE_SCORE).alias("score"), place.alias("ord"), F.format_string("[UMLS bridge: %s]", "mention").alias("origin"))
+
+
 def bridge_expansion(mentions: DataFrame, bridge: DataFrame, have: DataFrame, known: DataFrame) -> DataFrame:
     """Candidates whose bridge name is the mention; entities that the mention has already, or that are not in
     ``known`` (entity_id), are left out."""
     m = mentions.select("mention_id", F.lower(F.trim("mention")).alias("name"), "mention")
-    new = m.join(bridge, "name").join(have.select("mention_id", "entity_id"), ["mention_id", "entity_id"], "left_anti").join(known.select("entity_id").distinct(), "entity_id", "left_semi")
-    place = F.row_number().over(Window.partitionBy("mention_id").orderBy("entity_id")) - 1
-    return new.select("mention_id", "entity_id", F.lit(BRIDGE_SCORE).alias("score"), place.alias("ord"), F.format_string("[UMLS bridge: %s]", "mention").alias("origin"))
+    return _placed(m.join(bridge, "name").join(have.select("mention_id", "entity_id"), ["mention_id", "entity_id"], "left_anti").join(known.select("entity_id").distinct(), "entity_id", "left_semi"))
+
+
+def bridge_by_concept(mentions: DataFrame, names: DataFrame, reached: DataFrame, have: DataFrame, known: DataFrame) -> DataFrame:
+    """``bridge_expansion`` with the ``name_bridge`` of ``names`` and ``reached``, without a table of it: mentions meet the
+    known entities of their names' concepts in blocks, so that no task holds or dedupes what a large concept reaches."""
+    n = names.select(F.col("cui").alias("concept"), F.lower(F.trim("name")).alias("id")).filter(F.length("id") >= 3).distinct()
+    e = reached.select("cui", F.explode("ids").alias("entity_id")).repartition("entity_id").join(known.select("entity_id").distinct(), "entity_id", "left_semi").distinct()
+    own = have.groupBy("mention_id").agg(F.collect_set("entity_id").alias("own"))
+    left = mentions.join(own, "mention_id", "left").select(F.struct("mention_id", "mention").alias("of"), F.coalesce("own", F.array().cast(own.schema["own"].dataType)).alias("own"), F.lower(F.trim("mention")).alias("__of"))
+    right = e.select("entity_id", F.col("entity_id").alias("__of")).distinct()
+    none = mentions.join(e.select("entity_id"), F.lit(False)).select(F.struct("mention_id", "mention").alias("of"), "entity_id")
+    found = _once(_by_concept(left, n, "of", "own"), _by_concept(right, e.select(F.col("cui").alias("concept"), F.col("entity_id").alias("id")), "entity_id"), ~F.array_contains("l.own", F.col("r.entity_id")), ("of", "entity_id"), none)
+    return _placed(found.select("of.mention_id", "of.mention", "entity_id"))
 
 
 def subword_queries(mentions: DataFrame) -> DataFrame:

@@ -128,7 +128,7 @@ def bridge_lookup(spark, d) -> DataFrame:
     m = T.part_labels(spark, d).select(F.col("entity_id").alias("mention_id"), F.col("label").alias("mention"))
     have = m.select("mention_id", F.col("mention_id").alias("entity_id"))
     known = p.filter("p_size <= 5").select(F.col("p_partkey").alias("entity_id"))
-    return X.bridge_expansion(m, X.name_bridge(names, reached), have, known).select("mention_id", "entity_id", "score", F.col("ord").cast("long").alias("ord"), "origin")
+    return X.bridge_by_concept(m, names, reached, have, known).select("mention_id", "entity_id", "score", F.col("ord").cast("long").alias("ord"), "origin")
 
 
 QUERIES = {f.__name__: f for f in (fuzzy_link_topk, fuzzy_token_blocked, difflib_topk, bm25_topk, boosted_search, exact_label_lookup, dense_knn_topk, dense_index_search, multi_model_merge, hybrid_rescore, variant_union_first, abbrev_union_max, expand_merge_topk, subword_expand, tree_prefix_parents, bridge_two_hop, bridge_lookup)}

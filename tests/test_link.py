@@ -220,3 +220,17 @@ def test_gold_by_concept_in_blocks(spark, monkeypatch):
     # no join or exchange carries pairs: hot ids meet in at least as many tasks as the pairs ask for
     monkeypatch.setattr(evaluate, "PAIRS_PER_TASK", 100)
     assert evaluate.aliases(concepts.filter("concept = 'hot'")).rdd.getNumPartitions() >= 16
+
+
+def test_bridge_by_concept_equals_the_table(spark, monkeypatch):
+    """Mentions that meet entities by concept get the rows of the bridge table, with shared concepts and candidates left out."""
+    from lexweft.operators import evaluate, expand
+
+    names = spark.createDataFrame([("a", "Heart Attack "), ("b", "heart attack"), ("c", "Stroke"), ("b", "mi"), ("c", "heart attack"), ("d", None)], "cui string, name string")
+    reached = spark.createDataFrame([("a", list(range(30))), ("b", list(range(20, 45))), ("c", [3, 50, 51]), ("d", [60])], "cui string, ids array<long>")
+    mentions = spark.createDataFrame([(1, "Heart attack"), (2, " stroke"), (3, "mi"), (4, None), (5, "heart ATTACK")], "mention_id long, mention string")
+    have = spark.createDataFrame([(1, 25), (2, 3), (9, 1)], "mention_id long, entity_id long")
+    known = spark.createDataFrame([(i,) for i in range(60) if i % 7] * 2, "entity_id long")
+    monkeypatch.setattr(evaluate, "ALIAS_BLOCK", 8)
+    want = sorted(map(tuple, expand.bridge_expansion(mentions, expand.name_bridge(names, reached), have, known).collect()))
+    assert sorted(map(tuple, expand.bridge_by_concept(mentions, names, reached, have, known).collect())) == want and len(want) > 70
