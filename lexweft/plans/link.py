@@ -113,7 +113,7 @@ def link(mentions: DataFrame, docs: DataFrame, entities: DataFrame, config: Link
 def link_text(docs: DataFrame, entities: DataFrame, config: LinkConfig = LinkConfig(), **more) -> dict[str, DataFrame]:
     """Extraction by rules, then ``link``; mention ids follow document and place."""
     body = docs.select("doc_id", "text")
-    found = extract.mentions(extract.tokens(body), body)
+    found = extract.extract(body)
     placed = found.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "start")
     m = settled(placed.select(F.monotonically_increasing_id().alias("mention_id"), "doc_id", "mention", F.lit(None).cast("string").alias("entity_type")))
     return link(m, docs, entities, config, **more)

@@ -57,7 +57,7 @@ def abbrev_expand(spark, d) -> DataFrame:
 
 def mention_extract(spark, d) -> DataFrame:
     docs = T.table(spark, d, "documents").select("doc_id", "text")
-    return E.mentions(E.tokens(docs), docs)
+    return E.extract(docs)
 
 
 def _context(spark, d) -> DataFrame:

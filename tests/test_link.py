@@ -234,3 +234,21 @@ def test_bridge_by_concept_equals_the_table(spark, monkeypatch):
     monkeypatch.setattr(evaluate, "ALIAS_BLOCK", 8)
     want = sorted(map(tuple, expand.bridge_expansion(mentions, expand.name_bridge(names, reached), have, known).collect()))
     assert sorted(map(tuple, expand.bridge_by_concept(mentions, names, reached, have, known).collect())) == want and len(want) > 70
+
+
+def test_extract_by_document_equals_the_windows(spark, monkeypatch):
+    """Spans found document by document equal the windows over tokens, on odd texts and in small slices."""
+    import random
+
+    from lexweft.operators import extract
+
+    rng = random.Random(4)
+    bits = ["the", "of", "heart", "Attack", "was", "treated", "-", "3.5", "12", ",", "3", ".", "!", "?", "in", "aspirin's", "naïve", "β-blocker", "…", "«", "»", "$", "+", "ſ", "KING", "running", "é", "٣", "𝒳", "。", "؝"]
+    gaps = [" ", " ", " ", "", "\n", "  ", " ", " ", "\x1c", "　", "\x85"]
+    texts = ["".join(rng.choice(bits) + rng.choice(gaps) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    docs = spark.createDataFrame([*enumerate([*texts, "", " ", None, "  leading of the end ", "3 - 4", "a-b - c", "pain in the left arm."])], "doc_id long, text string")
+    want = sorted(map(tuple, extract.mentions(extract.tokens(docs), docs).collect()))
+    monkeypatch.setattr(extract, "SLICE", 50)
+    got = extract.extract(docs)
+    assert got.columns == ["doc_id", "start", "end", "mention"]
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 1000
