@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import significant_words
+from ..sources.settle import settled, small
 from .evaluate import _by_concept, _once
 from .merge import keep_best
 
@@ -28,17 +29,20 @@ def reachable(relations: DataFrame, mapped: DataFrame, most: int = MOST_BRIDGED)
     One hop over all four kinds; two hops (parent or broader twice) only where one hop finds nothing. The smallest
     ``most`` ids are kept.
     """
-    edges = both_ways(relations)
-    bare = edges.select("cui").distinct().join(mapped.select("cui").distinct(), "cui", "left_anti")
-    start = edges.join(bare, "cui")
-    ids = mapped.select(F.col("cui").alias("other"), "entity_id").distinct()
-    one = start.join(ids, "other").select("cui", "entity_id").distinct()
-    up = edges.filter(F.col("kind").isin("parent", "broader")).select("cui", "other").distinct()
-    rest = up.join(bare, "cui").join(one.select("cui").distinct(), "cui", "left_anti")
+    known = relations.filter(F.col("rel").isin("PAR", "CHD", "RB", "RN") & F.col("cui1").isNotNull() & F.col("cui2").isNotNull())
+    # only sets of concepts and ids are made distinct, never the relations themselves
+    edges = known.select(F.explode(F.array(F.struct(F.col("cui1").alias("cui"), F.col("cui2").alias("other")), F.struct(F.col("cui2").alias("cui"), F.col("cui1").alias("other")))).alias("e")).select("e.cui", "e.other")
+    forth = F.col("rel").isin("PAR", "RB")
+    up = known.select(F.when(forth, F.col("cui1")).otherwise(F.col("cui2")).alias("cui"), F.when(forth, F.col("cui2")).otherwise(F.col("cui1")).alias("other"))
+    ids = small(mapped.select(F.col("cui").alias("other"), "entity_id").distinct())
+    has = small(mapped.select("cui").distinct())
+    one = settled(edges.join(ids, "other").select("cui", "entity_id").distinct().join(has, "cui", "left_anti"))
     # ids of the middle concepts first: few concepts have one, and a hub passes on no more than are kept
-    mid = up.join(ids, "other").select(F.col("cui").alias("mid"), "entity_id").distinct()
-    mid = mid.withColumn("r", F.row_number().over(Window.partitionBy("mid").orderBy("entity_id"))).filter(F.col("r") <= most).drop("r")
-    two = rest.select("cui", F.col("other").alias("mid")).join(mid, "mid").select("cui", "entity_id").distinct()
+    mid = up.join(ids, "other").select(F.col("cui").alias("other"), "entity_id").distinct()
+    mid = mid.withColumn("r", F.row_number().over(Window.partitionBy("other").orderBy("entity_id"))).filter(F.col("r") <= most)
+    mid = small(settled(mid.groupBy("other").agg(F.collect_list("entity_id").alias("ids"))))
+    rest = up.join(has, "cui", "left_anti").join(small(one.select("cui").distinct()), "cui", "left_anti")
+    two = rest.join(mid, "other").select("cui", F.explode("ids").alias("entity_id")).distinct()
     w = Window.partitionBy("cui").orderBy("entity_id")
     some = one.union(two).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most)
     return some.groupBy("cui").agg(F.sort_array(F.collect_list("entity_id")).alias("ids"))

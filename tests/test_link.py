@@ -252,3 +252,29 @@ def test_extract_by_document_equals_the_windows(spark, monkeypatch):
     got = extract.extract(docs)
     assert got.columns == ["doc_id", "start", "end", "mention"]
     assert sorted(map(tuple, got.collect())) == want and len(want) > 1000
+
+
+def test_reach_without_a_table_of_relations(spark, monkeypatch):
+    """Ids in one hop or two equal plain Python, and no distinct table of both directions of the relations is made for them."""
+    import random
+
+    from lexweft.operators import expand
+
+    rng = random.Random(8)
+    rel = [(f"c{rng.randint(0, 40)}", rng.choice(["PAR", "CHD", "RB", "RN", "SY"]), f"c{rng.randint(0, 40)}") for _ in range(60)]
+    rel += [("hub", "PAR", f"m{i}") for i in range(9)] + [("far", "RB", "hub"), ("far", "RB", "hub"), (None, "PAR", "m1"), ("n", "PAR", None)]
+    ids = [(f"m{i}", 100 - i) for i in range(9)] + [("c3", 7), ("c3", 8), ("c9", 1), ("c20", 5)]
+    edges = {e for a, r, b in rel if a and b and r != "SY" for e in ((a, r in ("PAR", "RB"), b), (b, r in ("CHD", "RN"), a))}
+    of, want = {c: {i for d, i in ids if d == c} for c, _ in ids}, {}
+    for c in {a for a, _, _ in edges} - set(of):
+        found = {i for a, _, b in edges if a == c for i in of.get(b, ())}
+        found = found or {i for a, u, m in edges if a == c and u for x, v, b in edges if x == m and v for i in of.get(b, ())}
+        if found:
+            want[c] = sorted(found)[:4]
+
+    def table(_):
+        raise AssertionError("relations made distinct")
+
+    monkeypatch.setattr(expand, "both_ways", table)
+    got = expand.reachable(spark.createDataFrame(rel, "cui1 string, rel string, cui2 string"), spark.createDataFrame(ids, "cui string, entity_id long"), 4).collect()
+    assert {r["cui"]: r["ids"] for r in got} == want and len(got) == len(want) and "far" in want
